@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, lines
+from . import bpe, exact, langid, lines, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs).drop("text")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mixing.mix(docs, rate="rate")
+    return out.select("doc_id", mixing.tokens_of(F.col("text")).alias("tokens"), mixing.topic_of(F.col("text")).alias("topic"), F.round("rate", 6).alias("rate"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,12 +40,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op7_langid": op7_langid,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.oracle_sql(),
     "op8_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars FROM (
             SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, n_chars, lang, source) AS k FROM documents
