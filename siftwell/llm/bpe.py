@@ -25,8 +25,10 @@ from . import arrays as A
 from .common import default_tokenizer
 
 #: Determinised states, and cached pieces, kept by a worker before it starts afresh.
-MAX_STATES = 400_000
-MAX_PIECES = 250_000
+MAX_STATES = 250_000
+MAX_PIECES = 150_000
+#: Bytes of text that are split and told apart at once.
+SLICE = 1_000_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -77,7 +79,7 @@ class Merges:
                     self.at.append(-1)
                 n = m
             self.at[n] = i
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def _merge(self, piece: bytes, below: int) -> list[int]:
         """Plain merging, lowest rank first, with tokens under ``below``."""
@@ -99,11 +101,12 @@ class Merges:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may stand right after token ``a``."""
-        known = self._fits.get((a, b))
+        k = a << 32 | b
+        known = self._fits.get(k)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 150_000:
                 self._fits.clear()
-            known = self._fits[a, b] = self._fits_now(a, b)
+            known = self._fits[k] = self._fits_now(a, b)
         return known
 
     def _fits_now(self, a: int, b: int) -> bool:
@@ -136,7 +139,7 @@ class Transducer:
         self.number: dict[tuple, int] = {}
         self.state: list[tuple] = []
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._intern((-1, ((), 0), frozenset()))
+        self.start = self._intern((-1, ((), 0), ()))
 
     def _intern(self, s: tuple) -> int:
         n = self.number.get(s)
@@ -161,7 +164,7 @@ class Transducer:
                     new_done = ((*rest, tok), 0)
         out = new_done[0]
         if not new_open:
-            return self._intern((out[-1] if out else last, ((), 0), frozenset())), out
+            return self._intern((out[-1] if out else last, ((), 0), ())), out
         # what all guesses share is certain
         k = 0
         for k, t in enumerate(out):
@@ -176,7 +179,7 @@ class Transducer:
         # the last token matters only where a guess has no token of its own
         if rest and () not in [r for r, _ in new_open]:
             last = -2
-        return self._intern((last, (rest, 0), frozenset(new_open))), out
+        return self._intern((last, (rest, 0), tuple(sorted(new_open)))), out
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.state) > self.max_states:
@@ -230,26 +233,42 @@ def piece_bounds(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Batch encoding: pieces of a batch are told apart by Arrow, each different one runs the transducer."""
+    """Batch encoding: pieces of a batch are told apart by Arrow, each different one is merged once.
 
-    def __init__(self, path: str | None = None):
-        self.merges = Merges(load_ranks(path or default_tokenizer()))
-        self.fst = Transducer(self.merges)
+    ``by`` says what merges a piece: "transducer", or "tiktoken" for that library's code on the
+    same vocabulary, which operators use that only need ids.
+    """
+
+    def __init__(self, path: str | None = None, by: str = "transducer"):
+        tokens = load_ranks(path or default_tokenizer())
+        if by == "transducer":
+            self.merges = Merges(tokens)
+            self.fst = Transducer(self.merges)
+            self.merge = lambda w: tuple(self.fst.encode(w.encode()))
+        elif by == "tiktoken":
+            import tiktoken
+
+            # a piece is one match of the pattern already
+            one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+            self.merge = one.encode_ordinary
+        else:
+            raise ValueError(f"unknown encoder {by!r}")
+        self.tokens = tokens
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.dtype = np.uint16 if len(self.merges.tokens) < 65_000 else np.int32
+        self.dtype = np.uint16 if len(tokens) < 65_000 else np.int32
 
     def pieces(self, distinct: list[str]) -> list:
         if len(self.cache) > MAX_PIECES:  # what isn't used again until the next time goes
             self.older, self.cache = self.cache, {}
-        cache, older, out, encode = self.cache, self.older, [], self.fst.encode
+        cache, older, out, merge = self.cache, self.older, [], self.merge
         gc.disable()  # nothing here has cycles, and a collection visits every cached piece
         for w in distinct:
             ids = cache.get(w)
             if ids is None:
                 ids = older.get(w)
                 if ids is None:
-                    ids = tuple(encode(w.encode()))
+                    ids = merge(w)
                 cache[w] = ids
             out.append(ids)
         gc.enable()
@@ -258,7 +277,7 @@ class Encoder:
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the texts' offsets. ``col``: from as_strings."""
         ids, ends, base = [], [np.zeros(1, np.int64)], 0
-        for _, part in A.slices(col):
+        for _, part in A.slices(col, SLICE):
             raw, off = A.string_parts(part)
             cps, char_off, at = A.codepoints(raw, off)
             begin = piece_bounds(cps, char_off)
@@ -338,21 +357,21 @@ class StreamDecoder:
         return left.decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, by: str = "transducer") -> Encoder:
     """This worker's encoder; kept between batches and tasks."""
-    path = path or default_tokenizer()
-    if path not in _encoders:
+    key = (path or default_tokenizer(), by)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def decode_all(enc: Encoder, ids: np.ndarray, off: np.ndarray, chunk: int = 1 << 14) -> list[str]:
     """Stream every text's ids through the decoder."""
-    out, tokens = [], enc.merges.tokens
+    out, tokens = [], enc.tokens
     for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
         d, parts = StreamDecoder(tokens), []
         for k in range(a, b, chunk):
@@ -379,7 +398,7 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
         enc = encoder(path)
         for b in batches:
             given = b.column(keep.index(text))
-            for lo, part in A.slices(A.as_strings(given), 2 * A.SLICE_CHARS):
+            for lo, part in A.slices(A.as_strings(given), 4 * SLICE):
                 ids, off = enc.encode(part)
                 null = np.asarray(given.slice(lo, len(part)).is_null())
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
