@@ -6,7 +6,8 @@
 2. *Regions.* Unrelated documents are at Jaccard distance 1 from each other and from any
    pivot, so pivots are found through the rarest n-grams: with n-grams ordered by document
    count, two documents within the threshold share one of their first
-   ``n - ceil(t n) + 1`` n-grams. For each such n-gram the first document that has it is the
+   ``n - ceil(t n) + 1`` n-grams (and ``l`` of their first ``n - ceil(t n) + l``, so that who has
+   fewer with a count of two is out). For each such n-gram the first document that has it is the
    pivot, and every document is replicated to the regions of all pivots it meets so.
 3. *Recursion.* Inside a region documents go to the Voronoi cells of further pivots, and,
    where the triangle inequality leaves a partner possible (a distance within
@@ -33,6 +34,8 @@ NGRAM = 5
 THRESHOLD = 0.5
 #: Bits of an n-gram's hash: two n-grams of two given documents fall together with a chance of about 1e-9.
 HASH_BITS = 48
+#: Partners share this many of their first n-grams, or as many as their sizes ask for; the first ones are so many more.
+SHARED = 8
 #: Documents of a cell that are joined at once.
 LEAF = 512
 #: N-grams that one chunk counts together.
@@ -69,6 +72,16 @@ def need(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * size - 1e-9).astype(np.int64)
 
 
+def shared_least(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """How much longer than by one n-gram's need a signature is made, and how many of its n-grams any partner shares.
+
+    Sets that share o n-grams share l of their first n - o + l. A partner of n n-grams has t n or
+    more, so its own l is known to be as large as that size gives.
+    """
+    give = lambda n: np.clip(np.ceil(t * t * n - 1e-9), 1, SHARED).astype(np.int64)
+    return give(size), give(np.ceil(t * size - 1e-9))
+
+
 def _squeeze(b: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b)
 
@@ -174,7 +187,9 @@ def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
         h, doc = h[order], doc[order]
         at = A.cuts(doc, m)
         own = size - np.diff(at)  # n-grams of this document alone come first
-        take = np.clip(size - need(size, t) + 1 - own, 0, np.diff(at))
+        longer, least = shared_least(size, t)
+        take = np.clip(size - need(size, t) + longer - own, 0, np.diff(at))
+        take[take < least] = 0
         some = np.flatnonzero(size)
         grams = [np.sort(h[at[i] : at[i + 1]]).tobytes() if take[i] else None for i in some]
         sig = [h[at[i] : at[i] + take[i]].view(np.int64) if take[i] else None for i in some]
@@ -279,6 +294,63 @@ class Region:
         return out
 
 
+def whole_regions(batches: Iterator[pa.RecordBatch], grams: int = 2_000_000) -> Iterator[pa.Table]:
+    """Runs of rows that hold whole regions, of about ``grams`` n-grams; rows come sorted by pivot."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        pivot = batch.column(0).to_numpy()
+        ends = np.append(np.flatnonzero(pivot[1:] != pivot[:-1]) + 1, len(pivot))
+        weight = np.cumsum(batch.column(2).to_numpy())
+        lo = 0
+        for i, e in enumerate(ends.tolist()):
+            if held and lo == 0 and i == 0 and held[-1].column(0)[-1].as_py() != pivot[0] and size >= grams:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            # the last region of a batch may go on in the next one
+            if i < len(ends) - 1 and size + weight[e - 1] - (weight[lo - 1] if lo else 0) >= grams:
+                held.append(batch.slice(lo, e - lo))
+                yield pa.Table.from_batches(held)
+                held, size, lo = [], 0, e
+        if lo < len(pivot):
+            held.append(batch.slice(lo))
+            size += int(weight[-1] - (weight[lo - 1] if lo else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join_regions(pivot: np.ndarray, size: np.ndarray, sets: list[np.ndarray], t: float, small: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of one region within the threshold. Regions of up to ``small`` documents are joined together,
+    by counting how often two of a region's documents meet at an n-gram; larger ones one by one."""
+    size = size.astype(np.int64)
+    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])) if len(pivot) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(pivot)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo, k in zip(begin[count > small].tolist(), count[count > small].tolist()):
+        found += [(a + lo, b + lo, s) for a, b, s in Region(size[lo : lo + k], sets[lo : lo + k], t).join(np.arange(k))]
+    few = A.expand(begin[count <= small], count[count <= small])
+    if len(few):
+        region = np.repeat(np.arange(len(begin)), count)[few]
+        lens = np.array([len(sets[i]) for i in few.tolist()])
+        doc, gram = np.repeat(few, lens), np.concatenate([sets[i] for i in few.tolist()])
+        key = A.mix(gram ^ A.mix(np.repeat(region, lens).astype(np.uint64)))
+        order = np.argsort(key, kind="stable")  # in a group, documents stay in order
+        key, doc, gram = key[order], doc[order], gram[order]
+        pairs, by = [], 1
+        at = np.arange(len(key))
+        while len(at):
+            at = at[at + by < len(key)]
+            at = at[key[at] == key[at + by]]
+            pairs.append(doc[at] * len(pivot) + doc[at + by])
+            by += 1
+        u, inter = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = u // len(pivot), u % len(pivot)
+        j = inter / (size[a] + size[b] - inter)
+        ok = j >= t - 1e-12
+        found.append((a[ok], b[ok], j[ok]))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
 def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
     """Pairs (doc_a, doc_b, jaccard) of documents whose word n-gram sets have a Jaccard index of ``t`` or more.
 
@@ -304,14 +376,14 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     id_type = every.schema["id"].dataType
     out_schema = T.StructType([T.StructField("doc_a", id_type), T.StructField("doc_b", id_type), T.StructField("jaccard", T.DoubleType())])
 
-    def region(table: pa.Table) -> pa.Table:
-        ids = table.column("id")
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        found = Region(table.column("size").to_numpy(), sets, t).join(np.arange(len(sets)))
-        a, b, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, k) for i, k in enumerate((np.int64, np.int64, np.float64)))
-        return pa.table([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(s, pa.float64())], names=out_schema.names)
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_regions(batches):
+            ids = table.column("id").combine_chunks()
+            a, b, s = join_regions(table.column("pivot").to_numpy(), table.column("size").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], t)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(s, pa.float64())], names=out_schema.names)
 
-    near = members.join(single.select("node", "id", "size", "grams"), "node").groupBy("pivot").applyInArrow(region, out_schema)
+    rows = members.join(single.select("node", "id", "size", "grams"), "node").select("pivot", "id", "size", "grams")
+    near = rows.repartition(n_buckets(docs), "pivot").sortWithinPartitions("pivot").mapInArrow(regions, out_schema)
     near = near.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
     # a pair meets in every region that has both; keys that stand twice may give it with two values
     return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
