@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters handled at once; one longer text is handled alone, whole.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 _tables: dict[str, np.ndarray] = {}

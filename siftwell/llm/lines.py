@@ -24,6 +24,8 @@ from .common import broadcast_if, fresh, n_buckets, written
 MAX_EDITS = 2
 #: Shorter lines are never removed: this is part of what the operator means by a line.
 MIN_CHARS = 20
+#: Keys that a task gathers before it sends them.
+CHUNK_KEYS = 1_500_000
 #: Tables up to this size are broadcast, larger ones are joined by shuffle.
 BROADCAST = 32 << 20
 
@@ -116,42 +118,57 @@ def _near_pairs(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Candidate pairs (a, b) of 64-bit hashes of lines that may be within ``edits`` edits, each pair once."""
     buckets = n_buckets(docs, 1.2)
 
+    def keys_of(part: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, hashes of their lines) for the index and for probing."""
+        raw, off = A.string_parts(part)
+        cps, coff, at = A.codepoints(raw, off)
+        if not len(cps):
+            return []
+        brk = cps == 10
+        # a line begins where a text does and after a break
+        start = np.unique(np.concatenate([coff[:-1], np.flatnonzero(brk) + 1]))
+        start = start[start < len(cps)]
+        after = np.append(start[1:], len(cps))
+        end = after - brk[after - 1]
+        long = end - start >= min_chars
+        start, end = start[long], end[long]
+        if not len(start):
+            return []
+        _, first = np.unique(A.SpanHash(cps)(start, end), return_index=True)
+        start, end = start[first], end[first]
+        data, cut_a, cut_b = raw.tobytes(), at[start].tolist(), at[end].tolist()
+        h = np.fromiter((xxhash.xxh64_intdigest(data[x:y], 42) for x, y in zip(cut_a, cut_b)), np.uint64, len(start))
+        return [(keys, h[number]) for keys, number in line_keys(cps, start, end, edits)]
+
+    def packed(held: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        cols = []
+        for i in (0, 1):
+            keys, h = _distinct(np.concatenate([x[i][0] for x in held]), np.concatenate([x[i][1] for x in held]))
+            b = (keys % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(b, kind="stable")  # keys stay sorted in a bucket
+            cols.append((A.cuts(b[order], buckets), (keys[order] >> np.uint64(32)).astype(np.uint32), h[order]))
+        (ci, ki, hi), (cp, kp, hp) = cols
+        used = [x for x in range(buckets) if ci[x] < ci[x + 1] or cp[x] < cp[x + 1]]
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(used, pa.int32()),
+            "ik": pa.array([A.pack_sorted(ki[ci[x] : ci[x + 1]]) for x in used], pa.binary()),
+            "ih": pa.array([hi[ci[x] : ci[x + 1]].tobytes() for x in used], pa.binary()),
+            "pk": pa.array([A.pack_sorted(kp[cp[x] : cp[x + 1]]) for x in used], pa.binary()),
+            "ph": pa.array([hp[cp[x] : cp[x + 1]].tobytes() for x in used], pa.binary()),
+        })
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in batches:
-            for _, part in A.slices(A.as_strings(batch.column(0)), 4 * A.SLICE_CHARS):
-                raw, off = A.string_parts(part)
-                cps, coff, at = A.codepoints(raw, off)
-                if not len(cps):
-                    continue
-                brk = cps == 10
-                # a line begins where a text does and after a break
-                start = np.unique(np.concatenate([coff[:-1], np.flatnonzero(brk) + 1]))
-                start = start[start < len(cps)]
-                after = np.append(start[1:], len(cps))
-                end = after - brk[after - 1]
-                long = end - start >= min_chars
-                start, end = start[long], end[long]
-                if not len(start):
-                    continue
-                _, first = np.unique(A.SpanHash(cps)(start, end), return_index=True)
-                start, end = start[first], end[first]
-                data, cut_a, cut_b = raw.tobytes(), at[start].tolist(), at[end].tolist()
-                h = np.fromiter((xxhash.xxh64_intdigest(data[x:y], 42) for x, y in zip(cut_a, cut_b)), np.uint64, len(start))
-                cols = []
-                for keys, number in line_keys(cps, start, end, edits):
-                    b = (keys % np.uint64(buckets)).astype(np.int64)
-                    short = (keys >> np.uint64(32)).astype(np.uint32)
-                    order = np.lexsort((short, b))
-                    cols.append((A.cuts(b[order], buckets), short[order], h[number[order]]))
-                (ci, ki, hi), (cp, kp, hp) = cols
-                used = [x for x in range(buckets) if ci[x] < ci[x + 1] or cp[x] < cp[x + 1]]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(used, pa.int32()),
-                    "ik": pa.array([A.pack_sorted(ki[ci[x] : ci[x + 1]]) for x in used], pa.binary()),
-                    "ih": pa.array([hi[ci[x] : ci[x + 1]].tobytes() for x in used], pa.binary()),
-                    "pk": pa.array([A.pack_sorted(kp[cp[x] : cp[x + 1]]) for x in used], pa.binary()),
-                    "ph": pa.array([hp[cp[x] : cp[x + 1]].tobytes() for x in used], pa.binary()),
-                })
+            for _, part in A.slices(A.as_strings(batch.column(0))):
+                if got := keys_of(part):
+                    held.append(got)
+                    total += len(got[1][0])
+                if total >= CHUNK_KEYS:
+                    yield packed(held)
+                    held, total = [], 0
+        if held:
+            yield packed(held)
 
     def meet(t: pa.Table) -> pa.Table:
         def col(name: str) -> list[bytes]:
