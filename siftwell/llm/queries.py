@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, katz, langid, lines, mixing
+from . import bpe, dac, exact, jaccard, katz, langid, license, lines, media, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs), keep=["doc_id", "lang"])
@@ -46,14 +50,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.tokens_to_dac(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "pages"), "html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_bpe": op2_bpe,
     "op3_lm_score": op3_lm_score,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op6_license": op6_license,
     "op7_langid": op7_langid,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_dac_tokens": op9_dac_tokens,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
