@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,32 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _terms_pattern(terms: list[str]) -> str:
+    return "(?<![a-z0-9])(?:" + "|".join(terms) + ")(?![a-z0-9])"
+
+
+def has_token(c: Column, terms: list[str]) -> Column:
+    """Whether one of the terms is a token of the text; false for null. No array is made of the text.
+
+    A term with other characters than small letters and digits is never a token.
+    """
+    terms = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
+    if not terms:
+        return F.lit(False)
+    low = F.lower(c)
+    near = F.lit(False)
+    for t in terms:
+        near = near | F.contains(low, F.lit(t))  # a plain search comes first
+    return F.coalesce(near & low.rlike(_terms_pattern(terms)), F.lit(False))
+
+
+def count_token(c: Column, term: str) -> Column:
+    """How often a term is a token of the text; 0 for null."""
+    if not re.fullmatch("[a-z0-9]+", term):
+        return F.lit(0)
+    return F.coalesce(F.regexp_count(F.lower(c), F.lit(_terms_pattern([term]))), F.lit(0))
+
+
 def ngrams(word: Column, low: int, high: int) -> Column:
     """All substrings of ``low`` to ``high`` characters, repeated ones too; shorter words have none."""
     if low < 1 or low > high:
@@ -37,15 +65,14 @@ def text_ngrams(text: str, low: int, high: int) -> list[str]:
 
 def query_words(text: str) -> list[str]:
     """The tokens of a query text, on the driver."""
-    import re
-
     return re.findall("[a-z0-9]+", text.lower())
 
 
 def number_text(c: Column) -> Column:
     """A number without an exponent or trailing zeros: 8.99e9 is "8990000000", 35.0 is "35"."""
-    plain = F.call_function("format_number", c.cast("double"), F.lit("0." + "#" * 340))
-    return F.when(F.isnan(c.cast("double")), "NaN").otherwise(plain)
+    x = c.cast("double")
+    endless = F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(F.isnan(x), "NaN")
+    return endless.otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 340)))
 
 
 def whole(c: Column) -> Column:

@@ -7,7 +7,9 @@ frequencies, average length) is one aggregation with map-side combining.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -42,27 +44,38 @@ class TokenizerConfig:
 DEFAULT = TokenizerConfig(min_ngram=2, max_ngram=5)
 
 
-def _words_in(tokens: Column, words: Sequence[str]) -> Column:
-    """Whether a document has any of the words."""
-    if not words:
-        return F.lit(False)
-    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+_NO_TOKENS = "array<string>"
+
+
+def _every(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _some(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
 class Collection:
-    """Operators over documents. ``docs`` has doc_id and leaves (see flatten); doc_id is unique."""
+    """Operators over documents.
 
-    def __init__(self, docs: DataFrame, config: TokenizerConfig = DEFAULT):
-        self.config = config
-        if "tokens" not in docs.columns:
-            parts = F.transform(F.col("leaves"), lambda x: F.coalesce(X.tokens(x["text"]), F.array().cast("array<string>")))
-            found = F.flatten(parts)
-            docs = docs.select("doc_id", "leaves", (stem.stems(found) if config.use_stemming else found).alias("tokens"))
-        self.docs = docs
+    ``base`` has a row for each document: a unique doc_id, a column for each of ``plain`` (root fields
+    known to the plan, whose predicates reach the scan), ``leaves`` (all that is nested or
+    schemaless) and perhaps ``tokens``. Other columns are ignored.
+    """
+
+    def __init__(self, base: DataFrame, config: TokenizerConfig = DEFAULT, plain: Sequence[flatten.Field] = (), max_depth: int | None = None, nested: bool = True):
+        self.config, self.plain, self.max_depth, self.nested = config, list(plain), max_depth, nested
+        keep = ["doc_id", *[f.column for f in self.plain], "leaves"]
+        self.tokenized = "tokens" in base.columns
+        self.base = base.select(*keep, *(["tokens"] if self.tokenized else []))
+        if not self.tokenized and config.use_stemming:
+            self.base, self.tokenized = self.base.withColumn("tokens", stem.stems(self._tokens())), True
 
     @classmethod
     def from_table(cls, df: DataFrame, id_col: str, fields: list[str] | None = None, config: TokenizerConfig = DEFAULT, max_depth: int | None = None) -> Collection:
-        return cls(flatten.table_leaves(df, id_col, fields, max_depth), config)
+        base, plain = flatten.table_fields(df, id_col, fields, max_depth)
+        n = len(fields) if fields is not None else len(df.columns) - 1
+        return cls(base, config, plain, max_depth, nested=len(plain) < n)
 
     @classmethod
     def from_json(cls, df: DataFrame, id_col: str, json_col: str, config: TokenizerConfig = DEFAULT, max_depth: int | None = None, date_paths: tuple[str, ...] = ()) -> Collection:
@@ -75,24 +88,38 @@ class Collection:
     def save(self, path: str) -> Collection:
         """The flattened, tokenized documents as a table; opened again by ``load``."""
         self.docs.write.mode("overwrite").parquet(path)
-        return Collection(self.docs.sparkSession.read.parquet(path), self.config)
+        return Collection.load(self.docs.sparkSession, path, self.config)
 
     def save_postings(self, path: str) -> DataFrame:
         """Postings in order of term, so that row groups are skipped in look-ups of single terms."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
-        return self.docs.sparkSession.read.parquet(path)
+        return self.base.sparkSession.read.parquet(path)
+
+    def _tokens(self) -> Column:
+        none = F.array().cast(_NO_TOKENS)
+        parts = [F.coalesce(X.tokens(f.searched), none) for f in self.plain]
+        if self.nested:
+            parts.append(F.flatten(F.transform("leaves", lambda x: F.coalesce(X.tokens(x["text"]), F.array().cast(_NO_TOKENS)))))
+        return F.concat(*parts) if parts else none
 
     # --- derived tables
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        """(doc_id, leaves, tokens) of every document."""
+        own = F.array_compact(F.array(*[f.as_leaf(self.max_depth != 0) for f in self.plain])) if self.plain else None
+        leaves = F.col("leaves") if own is None else F.concat(own, "leaves") if self.nested else own
+        return self.base.select("doc_id", leaves.alias("leaves"), (F.col("tokens") if self.tokenized else self._tokens()).alias("tokens"))
+
     @cached_property
     def fields(self) -> DataFrame:
         """A row for each leaf."""
-        return self.docs.select("doc_id", F.explode("leaves").alias("f")).select("doc_id", "f.*")
+        return self.docs.select("doc_id", F.explode_outer("leaves").alias("f")).select("doc_id", "f.*").where("path is not null")
 
     @cached_property
     def occurrences(self) -> DataFrame:
         """(doc_id, path, term) for each token."""
-        per_leaf = self.docs.select("doc_id", F.explode("leaves").alias("f")).select("doc_id", F.col("f.path").alias("path"), X.tokens(F.col("f.text")).alias("ts"))
+        per_leaf = self.fields.select("doc_id", "path", X.tokens(F.col("text")).alias("ts"))
         if self.config.use_stemming:
             per_leaf = per_leaf.withColumn("ts", stem.stems(F.col("ts")))
         return per_leaf.select("doc_id", "path", F.explode("ts").alias("term"))
@@ -134,24 +161,33 @@ class Collection:
         return list(dict.fromkeys(stem.stem(w) if self.config.use_stemming else w for w in low))
 
     def has_any(self, words: Sequence[str]) -> Column:
-        return _words_in(F.col("tokens"), self._terms(words))
+        """Whether a row of ``base`` has any of the words."""
+        terms = self._terms(words)
+        if not terms:
+            return F.lit(False)
+        if self.tokenized:
+            return F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms]))
+        numeric = any(t.isdigit() or t in ("nan", "inf") for t in terms)
+        hits = [X.has_token(f.searched, terms) for f in self.plain if f.kind == "text" or numeric]
+        if self.nested:
+            hits.append(F.exists("leaves", lambda x: X.has_token(x["text"], terms)))
+        return _some(hits)
 
     def get(self, doc_id: object) -> DataFrame:
-        return self.docs.where(F.col("doc_id") == F.lit(doc_id))
+        return self.base.where(F.col("doc_id") == F.lit(doc_id))
 
     def words(self, words: Sequence[str]) -> DataFrame:
         """Documents with any of the words."""
-        return self.docs.where(self.has_any(words)).select("doc_id")
+        return self.base.where(self.has_any(words)).select("doc_id")
 
     def and_words(self, words: Sequence[str]) -> DataFrame:
         """Documents with all of the words; none for no words."""
-        terms = self._terms(words)
-        every = reduce(lambda a, b: a & b, [F.array_contains("tokens", t) for t in terms], F.lit(bool(terms)))
-        return self.docs.where(every).select("doc_id")
+        every = _every(self.has_any([w]) for w in words) if words else F.lit(False)
+        return self.base.where(every).select("doc_id")
 
     def not_words(self, words: Sequence[str]) -> DataFrame:
         """Documents with none of the words."""
-        return self.docs.where(~self.has_any(words)).select("doc_id")
+        return self.base.where(~self.has_any(words)).select("doc_id")
 
     def doc_freq(self, word: str) -> DataFrame:
         return self.words([word]).agg(F.count("*").alias("df"))
@@ -160,10 +196,14 @@ class Collection:
         """(doc_id, tf, field_paths) of a term as it is written; narrow, as a document is one row."""
         if self.config.use_stemming:  # Python functions don't run inside lambdas
             return self.postings.where(F.col("term") == term).select("doc_id", "tf", "field_paths")
-        hit = F.filter("leaves", lambda x: F.coalesce(F.array_contains(X.tokens(x["text"]), term), F.lit(False)))
-        paths = F.array_sort(F.array_distinct(F.transform(hit, lambda x: x["path"])))
-        tf = F.size(F.filter("tokens", lambda t: t == F.lit(term))).cast("long")
-        return self.docs.where(F.array_contains("tokens", term)).select("doc_id", tf.alias("tf"), paths.alias("field_paths"))
+        tf = reduce(lambda x, y: x + y, [X.count_token(f.searched, term) for f in self.plain], F.lit(0))
+        paths = F.array_compact(F.array(*[F.when(X.has_token(f.searched, [term]), F.lit(f.path)) for f in self.plain])).cast("array<string>")
+        if self.nested:
+            hit = F.filter("leaves", lambda x: X.has_token(x["text"], [term]))
+            tf = tf + F.aggregate(hit, F.lit(0), lambda n, x: n + X.count_token(x["text"], term))
+            paths = F.concat(paths, F.transform(hit, lambda x: x["path"]))
+        found = self.base.where(self.has_any([term]) & F.lit(term == term.lower()))
+        return found.select("doc_id", tf.cast("long").alias("tf"), F.array_sort(F.array_distinct(paths)).alias("field_paths"))
 
     def term_with_fields(self, term: str) -> DataFrame:
         """(doc_id, field_paths) of a term."""
@@ -188,8 +228,9 @@ class Collection:
 
     # --- look-ups by number
 
-    def _in(self, match: Column, low: int | None, high: int | None, key: Column, exclude: Sequence[float] = ()) -> Column:
-        ok = match & key.isNotNull()
+    @staticmethod
+    def _in(key: Column, low: int | None, high: int | None, exclude: Sequence[float] = ()) -> Column:
+        ok = key.isNotNull()
         if low is not None:
             ok &= key >= F.lit(low).cast("long")
         if high is not None:
@@ -198,26 +239,54 @@ class Collection:
             ok &= ~key.isin([X.scaled(v) for v in exclude])
         return ok
 
-    def _pairs(self, match, low: int | None, high: int | None, exclude: Sequence[float] = ()) -> DataFrame:
-        f = self.fields
-        return f.where(self._in(match(F.col("path"), F.col("leaf")), low, high, F.col("vkey"), exclude)).select("doc_id", "path", "vkey")
+    def _plain_in(self, f: flatten.Field, low: int | None, high: int | None, exclude: Sequence[float] = ()) -> Column:
+        """The same for a plain field, with bounds on the bare column that the scan can use; null where the field is."""
+        ok = self._in(f.vkey, low, high, exclude)
+        nan = (low is None or low <= 0) and (high is None or high >= 0)  # NaN has key 0 but lies within no bounds
+        if f.kind == "number" and (f.integral or not nan):
+            if low is not None:
+                ok &= f.value >= (F.lit(-(-low // 1000)) if f.integral else F.lit((low - 1) / 1000 - abs(low) * 1e-12))
+            if high is not None:
+                ok &= f.value <= (F.lit(high // 1000) if f.integral else F.lit((high + 1) / 1000 + abs(high) * 1e-12))
+        return ok
+
+    def _found(self, plain: list[tuple[flatten.Field, Column]], match) -> DataFrame:
+        """(doc_id, path, vkey) for the plain fields where their condition holds, and for the leaves that match."""
+        out = lambda path, key: F.struct(path.alias("path"), key.cast("long").alias("vkey"))
+        if len(plain) == 1 and not self.nested:
+            f, ok = plain[0]
+            return self.base.where(ok).select("doc_id", F.lit(f.path).alias("path"), f.vkey.alias("vkey"))
+        found = F.array_compact(F.array(*[F.when(ok, out(F.lit(f.path), f.vkey)) for f, ok in plain])) if plain else F.array().cast("array<struct<path:string,vkey:bigint>>")
+        rows = self.base
+        if self.nested:
+            found = F.concat(found, F.transform(F.filter("leaves", match), lambda x: out(x["path"], x["vkey"])))
+        else:
+            rows = rows.where(_some(ok for _, ok in plain))
+        return rows.select("doc_id", F.explode_outer(found).alias("f")).select("doc_id", "f.path", "f.vkey").where("path is not null")
+
+    def _pairs(self, what: str, name: str, low: int | None, high: int | None, exclude: Sequence[float] = ()) -> DataFrame:
+        plain = [(f, self._plain_in(f, low, high, exclude)) for f in self.plain if getattr(f, what) == name and f.kind != "text"]
+        return self._found(plain, lambda x: F.coalesce((x[what] == name) & self._in(x["vkey"], low, high, exclude), F.lit(False)))
 
     def has_value(self, field: str, low: int | None, high: int | None) -> Column:
-        """Whether a document has a number in a field of this name (last segment) between two keys."""
-        return F.exists("leaves", lambda x: F.coalesce(self._in(x["leaf"] == field, low, high, x["vkey"]), F.lit(False)))
+        """Whether a row of ``base`` has a number in a field of this name (last segment) between two keys."""
+        hits = [f.value.isNotNull() & self._plain_in(f, low, high) for f in self.plain if f.leaf == field and f.kind != "text"]
+        if self.nested:
+            hits.append(F.exists("leaves", lambda x: F.coalesce((x["leaf"] == field) & self._in(x["vkey"], low, high), F.lit(False))))
+        return _some(hits)
 
     def range(self, path: str, low: float, high: float) -> DataFrame:
         """(doc_id, path, vkey) where the field of exactly this path lies between the bounds, both included."""
-        return self._pairs(lambda p, leaf: p == path, X.scaled(low), X.scaled(high))
+        return self._pairs("path", path, X.scaled(low), X.scaled(high))
 
     def compare(self, field: str, low: float | None = None, high: float | None = None, exclude: Sequence[float] = ()) -> DataFrame:
         """The same by the path's last segment, with optional bounds and excluded values; a pair for each field."""
-        return self._pairs(lambda p, leaf: leaf == field, None if low is None else X.scaled(low), None if high is None else X.scaled(high), exclude)
+        return self._pairs("leaf", field, None if low is None else X.scaled(low), None if high is None else X.scaled(high), exclude)
 
     def gt(self, field: str, n: float, exclude: Sequence[float] = (), strict: bool = False) -> DataFrame:
         """From n + 1 on: values strictly between n and n + 1 don't match, unless ``strict`` asks for all above n."""
         if strict:
-            return self._pairs(lambda p, leaf: leaf == field, X.scaled(n) + 1, None, exclude)
+            return self._pairs("leaf", field, X.scaled(n) + 1, None, exclude)
         return self.compare(field, n + 1, None, exclude)
 
     def gte(self, field: str, n: float, exclude: Sequence[float] = ()) -> DataFrame:
@@ -226,7 +295,7 @@ class Collection:
     def lt(self, field: str, n: float, exclude: Sequence[float] = (), strict: bool = False) -> DataFrame:
         """Up to n - 1, or with ``strict`` all below n."""
         if strict:
-            return self._pairs(lambda p, leaf: leaf == field, None, X.scaled(n) - 1, exclude)
+            return self._pairs("leaf", field, None, X.scaled(n) - 1, exclude)
         return self.compare(field, None, n - 1, exclude)
 
     def lte(self, field: str, n: float, exclude: Sequence[float] = ()) -> DataFrame:
@@ -239,49 +308,79 @@ class Collection:
     def date_between(self, field: str, low: str, high: str) -> DataFrame:
         """Documents with a date in a field of this name between two dates (Y-M-D), both included."""
         key = lambda s: sum(int(p) * m for p, m in zip(s.split("-"), (10000, 100, 1), strict=True))
-        return self.fields.where((F.col("leaf") == field) & (F.col("kind") == "date") & F.col("vkey").between(key(low), key(high))).select("doc_id", "path", "vkey")
+        first, last = key(low), key(high)
+        plain = []
+        for f in self.plain:
+            if f.leaf == field and f.kind == "date":
+                ok = self._in(f.vkey, first, last)
+                try:  # on the bare column, for the scan
+                    ok &= (f.value >= F.lit(datetime.date.fromisoformat(low))) & (f.value < F.lit(datetime.date.fromisoformat(high) + datetime.timedelta(1)))
+                except ValueError:
+                    pass
+                plain.append((f, ok))
+        return self._found(plain, lambda x: F.coalesce((x["leaf"] == field) & (x["kind"] == "date") & x["vkey"].between(first, last), F.lit(False)))
 
     # --- sorting
 
-    def _key(self, match, pick) -> Column:
-        return pick(F.filter("leaves", lambda x: (x["kind"] == "number") & match(x)))
+    def _numbers(self, match, leaf_match) -> tuple[list[flatten.Field], Column | None]:
+        """The plain number fields whose path matches, and the leaves that do."""
+        plain = [f for f in self.plain if f.kind == "number" and match(f.path)]
+        return plain, F.filter("leaves", lambda x: (x["kind"] == "number") & leaf_match(x)) if self.nested else None
 
     @staticmethod
-    def _longest(hits: Column) -> Column:
-        ordered = F.transform(hits, lambda x: F.struct(F.length(x["path"]).alias("n"), x["path"].alias("path"), x["num"].alias("num")))
-        return F.array_max(ordered)["num"]
+    def _best(values: list[Column], pick) -> Column:
+        """The least or greatest of some columns; null if all are."""
+        return F.lit(None) if not values else values[0] if len(values) == 1 else pick(*values)
+
+    def _suffix_key(self, suffix: str) -> Column:
+        plain, hits = self._numbers(lambda p: p.endswith(suffix), lambda x: F.endswith(x["path"], F.lit(suffix)))
+        if hits is None:
+            order = sorted(plain, key=lambda f: (len(f.path), f.path), reverse=True)
+            return F.coalesce(*[f.value.cast("double") for f in order]) if order else F.lit(None).cast("double")
+        place = lambda path, num: F.struct(F.length(path).alias("n"), path.alias("path"), num.cast("double").alias("num"))
+        own = F.array_compact(F.array(*[F.when(f.value.isNotNull(), place(F.lit(f.path), f.value)) for f in plain])) if plain else None
+        found = F.transform(hits, lambda x: place(x["path"], x["num"]))
+        return F.array_max(found if own is None else F.concat(own, found))["num"]
 
     def sort_columns(self, fields: Sequence[tuple[str, bool]]) -> tuple[list[Column], list[Column]]:
-        """Keys and ordering of ``sort_by``: per field (suffix, ascending), the number at the longest path that ends so."""
-        keys = [self._key(lambda x, s=s: F.endswith(x["path"], F.lit(s)), self._longest).alias(f"key_{i}") for i, (s, _) in enumerate(fields)]
-        order = [F.col(f"key_{i}").asc_nulls_last() if asc else F.col(f"key_{i}").desc_nulls_first() for i, (_, asc) in enumerate(fields)]
-        return keys, order
+        """Keys over ``base`` and ordering of ``sort_by``: per field (suffix, ascending), the number at the longest path that ends so."""
+        keys = [self._suffix_key(s).alias(f"key_{i}") for i, (s, _) in enumerate(fields)]
+        return keys, self._order(fields)
+
+    @staticmethod
+    def _order(fields: Sequence[tuple[str, bool]]) -> list[Column]:
+        return [F.col(f"key_{i}").asc_nulls_last() if asc else F.col(f"key_{i}").desc_nulls_first() for i, (_, asc) in enumerate(fields)]
 
     def sort_by(self, fields: Sequence[tuple[str, bool]]) -> DataFrame:
         """All documents with key columns, in order: nulls last ascending, first descending; ties by doc_id."""
         keys, order = self.sort_columns(fields)
-        got = self.docs.select("doc_id", *keys)
+        got = self.base.select("doc_id", *keys)
         return got.orderBy(*order, F.col("doc_id").asc()) if fields else got
 
     def sort_by_leaf(self, fields: Sequence[tuple[str, bool]]) -> DataFrame:
         """The same with keys by the last segment: the least match ascending, the greatest descending."""
-        def best(asc: bool):
-            return lambda hits: (F.array_min if asc else F.array_max)(F.transform(hits, lambda x: x["num"]))
+        def key(name: str, asc: bool) -> Column:
+            plain, hits = self._numbers(lambda p: p.rpartition(".")[2] == name, lambda x: x["leaf"] == name)
+            values = [f.value.cast("double") for f in plain]
+            if hits is not None:
+                values.append((F.array_min if asc else F.array_max)(F.transform(hits, lambda x: x["num"])))
+            return self._best(values, F.least if asc else F.greatest)
 
-        keys = [self._key(lambda x, s=s: x["leaf"] == s, best(asc)).alias(f"key_{i}") for i, (s, asc) in enumerate(fields)]
-        order = [F.col(f"key_{i}").asc_nulls_last() if asc else F.col(f"key_{i}").desc_nulls_first() for i, (_, asc) in enumerate(fields)]
-        got = self.docs.select("doc_id", *keys)
-        return got.orderBy(*order, F.col("doc_id").asc()) if fields else got
+        got = self.base.select("doc_id", *[key(s, asc).cast("double").alias(f"key_{i}") for i, (s, asc) in enumerate(fields)])
+        return got.orderBy(*self._order(fields), F.col("doc_id").asc()) if fields else got
 
     def sort_by_substring(self, part: str, ascending: bool = True) -> DataFrame:
         """Documents with a number under a path that contains ``part``, by the greatest such whole number."""
-        big = lambda hits: F.array_max(F.transform(hits, lambda x: X.whole(x["num"])))
-        got = self.docs.select("doc_id", self._key(lambda x: F.contains(x["path"], F.lit(part)), big).alias("key_0")).where("key_0 is not null")
+        plain, hits = self._numbers(lambda p: part in p, lambda x: F.contains(x["path"], F.lit(part)))
+        values = [F.when(f.value.isNotNull(), X.whole(f.value)) for f in plain]
+        if hits is not None:
+            values.append(F.array_max(F.transform(hits, lambda x: X.whole(x["num"]))))
+        got = self.base.select("doc_id", self._best(values, F.greatest).cast("long").alias("key_0")).where("key_0 is not null")
         return got.orderBy(F.col("key_0").asc() if ascending else F.col("key_0").desc(), F.col("doc_id").asc())
 
     def sort_by_path(self, path: str, ascending: bool = True, among: DataFrame | None = None) -> DataFrame:
         """Documents by the value key at exactly this path; those without are left out, and those not ``among``."""
-        got = self.fields.where((F.col("path") == path) & F.col("vkey").isNotNull()).select("doc_id", F.col("vkey").alias("key_0"))
+        got = self._pairs("path", path, None, None).select("doc_id", F.col("vkey").alias("key_0"))
         if among is not None:
             got = got.join(among.select("doc_id"), "doc_id", "left_semi")
         return got.orderBy(F.col("key_0").asc() if ascending else F.col("key_0").desc(), F.col("doc_id").asc())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,15 +70,74 @@ def finished(raw: Column, max_depth: int | None = None) -> Column:
     return F.transform(raw, one)
 
 
-def table_leaves(df: DataFrame, id_col: str, fields: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
-    """(doc_id, leaves) of a table: a row is a document and its columns are the root's fields.
+LEAF = "struct<path:string,leaf:string,depth:int,kind:string,text:string,num:double,date:string,vkey:bigint>"
+LEAVES = f"array<{LEAF}>"
 
-    Absent values (null columns) have no leaf; nulls inside arrays and structs are the text "null".
+
+@dataclass(frozen=True)
+class Field:
+    """A root field with one value a document, held in a column of its own: its path is part of the plan."""
+
+    path: str
+    kind: str  # text, number or date
+    column: str
+    type: T.DataType
+
+    @property
+    def value(self) -> Column:
+        return F.col(self.column)
+
+    @property
+    def leaf(self) -> str:
+        return self.path.rpartition(".")[2]
+
+    @property
+    def integral(self) -> bool:
+        return isinstance(self.type, T.IntegralType)
+
+    @property
+    def searched(self) -> Column:
+        """What is searched for words."""
+        if self.kind == "date":
+            return F.date_format(self.value, "yyyy-MM-dd")
+        if self.kind == "number" and not self.integral:
+            return X.number_text(self.value)
+        return self.value.cast("string")
+
+    @property
+    def vkey(self) -> Column:
+        if self.kind == "date":
+            d = self.value
+            return (F.year(d) * 10000 + F.month(d) * 100 + F.day(d)).cast("long")
+        return X.value_key(self.value) if self.kind == "number" else F.lit(None).cast("long")
+
+    def as_leaf(self, normal: bool = True) -> Column:
+        text = X.normalize_text(self.searched) if self.kind == "text" and normal else self.searched
+        none = F.lit(None)
+        s = F.struct(
+            F.lit(self.path).alias("path"), F.lit(self.leaf).alias("leaf"), F.lit(0).alias("depth"), F.lit(self.kind).alias("kind"), text.alias("text"),
+            (self.value if self.kind == "number" else none).cast("double").alias("num"), (text if self.kind == "date" else none).cast("string").alias("date"), self.vkey.alias("vkey"),
+        )
+        return F.when(self.value.isNotNull(), s.cast(LEAF))
+
+
+def table_fields(df: DataFrame, id_col: str, fields: list[str] | None = None, max_depth: int | None = None) -> tuple[DataFrame, list[Field]]:
+    """A table whose rows are documents and whose columns are the root's fields: (doc_id, a column for each plain field, leaves), fields.
+
+    ``leaves`` are those of arrays, maps and structs. Absent values (null columns) have no leaf; nulls
+    inside arrays and structs are the text "null".
     """
-    names = fields if fields is not None else [c for c in df.columns if c != id_col]
-    parts = [F.when(df[f"`{c}`"].isNull(), F.array().cast(RAW)).otherwise(typed_leaves(df[f"`{c}`"], df.schema[c].dataType, F.lit(c), 0)) for c in names]
-    raw = F.flatten(F.array(*parts)) if parts else F.array().cast(RAW)
-    return df.select(df[f"`{id_col}`"].alias("doc_id"), finished(raw, max_depth).alias("leaves"))
+    plain, cols, nested = [], [], []
+    for i, c in enumerate(fields if fields is not None else [c for c in df.columns if c != id_col]):
+        kind, col = df.schema[c].dataType, df[f"`{c}`"]
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            nested.append(F.when(col.isNull(), F.array().cast(RAW)).otherwise(typed_leaves(col, kind, F.lit(c), 0)))
+            continue
+        what = "number" if isinstance(kind, T.NumericType) else "date" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "text"
+        plain.append(Field(c, what, f"field_{i}", kind))
+        cols.append(col.alias(f"field_{i}"))
+    leaves = finished(F.flatten(F.array(*nested)), max_depth) if nested else F.array()
+    return df.select(df[f"`{id_col}`"].alias("doc_id"), *cols, leaves.cast(LEAVES).alias("leaves")), plain
 
 
 def _walk(value: object, path: str, depth: int, dates: frozenset[str], out: list) -> None:

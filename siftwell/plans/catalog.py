@@ -309,7 +309,7 @@ def ngram_bm25_old(spark, d):
 def sort_multi(spark, d):
     c = parts(spark, d, PART_NUMBERS)
     keys, order = c.sort_columns([("size", False), ("retailprice", True)])
-    return ranked(c.docs.select("doc_id", *keys), [*order, F.col("doc_id").asc()]).select("doc_id", "rank")
+    return ranked(c.base.select("doc_id", *keys), [*order, F.col("doc_id").asc()]).select("doc_id", "rank")
 
 
 @query("SELECT event_id AS doc_id, row_number() OVER (ORDER BY least(value, json_extract(props, '$.value')::DOUBLE) ASC NULLS LAST, event_id) AS rank FROM events")
@@ -362,7 +362,7 @@ def lang_sort(spark, d):
     c = parts(spark, d)
     e = lang.parse("p_name = red OR p_size > 45 SORT BY ((p_size DESC), (p_retailprice ASC))")
     keys, order = c.sort_columns(e.fields)
-    hits = lang.run(c, e.inner).join(c.docs.select("doc_id", *keys), "doc_id")
+    hits = lang.run(c, e.inner).join(c.base.select("doc_id", *keys), "doc_id")
     return ranked(hits, [*order, F.col("doc_id").asc()]).select("doc_id", "rank")
 
 

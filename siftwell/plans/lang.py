@@ -2,9 +2,9 @@
 
     [COUNT] condition [SORT BY ((field ASC|DESC), ...)]
 
-A condition compiles to a Column that says how often a document is in the result: OR adds
+A condition compiles to two Columns: whether a document is in the result, and how often. OR adds
 (a bag union, duplicates stay), AND keeps the left side's times where the right side has the
-document, NOT turns a word's absence into 1. So any query is a single scan without a join.
+document, NOT is a word's absence. So any query is a single scan without a join.
 """
 
 from __future__ import annotations
@@ -145,27 +145,41 @@ def parse(text: str) -> Expr:
     return _Parser(tokenize(text)).query()
 
 
-def times(c: Collection, e: Expr) -> Column:
-    """How often a document is in the result of a condition."""
+def holds(c: Collection, e: Expr) -> Column:
+    """Whether a document is in the result of a condition; what the scan can use of it, it does."""
     if isinstance(e, Compare):
         if e.op == "=" and isinstance(e.value, str):
-            return c.has_any([e.value]).cast("long")  # whatever the field
+            return c.has_any([e.value])  # whatever the field
         if e.op == "=" or isinstance(e.value, str):
             raise QueryError(f"invalid comparison: {e.field} {e.op} {e.value}")
         low = {">": e.value + 1, ">=": e.value}.get(e.op)
         high = {"<": e.value - 1, "<=": e.value}.get(e.op)
-        return c.has_value(e.field, None if low is None else X.scaled(low), None if high is None else X.scaled(high)).cast("long")
+        return c.has_value(e.field, None if low is None else X.scaled(low), None if high is None else X.scaled(high))
     if isinstance(e, Or):
-        return times(c, e.left) + times(c, e.right)
+        return holds(c, e.left) | holds(c, e.right)
     if isinstance(e, And):
-        return F.when(times(c, e.right) > 0, times(c, e.left)).otherwise(F.lit(0).cast("long"))
+        return holds(c, e.left) & holds(c, e.right)
     if isinstance(e, Not):
         if not (isinstance(e.inner, Compare) and e.inner.op == "=" and isinstance(e.inner.value, str)):
             raise QueryError("NOT takes a word comparison only")
-        return (~c.has_any([e.inner.value])).cast("long")
+        return ~c.has_any([e.inner.value])
     raise QueryError("COUNT and SORT BY stand outside of conditions")
 
 
+def times(c: Collection, e: Expr) -> Column | None:
+    """How often a document that is in the result is there; None for always once."""
+    if isinstance(e, And):
+        return times(c, e.left)
+    if not isinstance(e, Or):
+        return None
+
+    def of(x: Expr) -> Column:
+        n = times(c, x)
+        return F.when(holds(c, x), F.lit(1).cast("long") if n is None else n).otherwise(F.lit(0).cast("long"))
+
+    return of(e.left) + of(e.right)
+
+
 def run(c: Collection, query: str | Expr) -> DataFrame:
     """(doc_id) of the result, as often as it is in it, in order if the query sorts; with COUNT also ``count``.
 
@@ -178,12 +192,12 @@ def run(c: Collection, query: str | Expr) -> DataFrame:
     counted = isinstance(e, Count)
     if counted:
         e = e.inner
-    n = times(c, e)
+    inside, n = holds(c, e), times(c, e)
     keys, order = c.sort_columns(fields)
-    hits = c.docs.select("doc_id", n.alias("times"), *keys).where("times > 0")
+    hits = c.base.where(inside).select("doc_id", *([n.alias("times")] if n is not None else []), *keys)
     if counted:
         hits = hits.crossJoin(F.broadcast(count(c, e)))  # one row
-    out = hits.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
+    out = hits if n is None else hits.withColumn("times", F.explode_outer(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
     if fields:
         out = out.orderBy(*order, F.col("doc_id").asc())
     return out.select("doc_id", *(["count"] if counted else []))
@@ -194,4 +208,5 @@ def count(c: Collection, query: str | Expr) -> DataFrame:
     e = parse(query) if isinstance(query, str) else query
     while isinstance(e, (Sort, Count)):
         e = e.inner
-    return c.docs.select(times(c, e).alias("times")).agg(F.coalesce(F.sum("times"), F.lit(0).cast("long")).alias("count"))
+    n = times(c, e)
+    return c.base.where(holds(c, e)).agg(F.coalesce(F.sum(F.lit(1).cast("long") if n is None else n), F.lit(0).cast("long")).alias("count"))

@@ -199,7 +199,7 @@ class Engine:
         limits = docs.where("max_depth is not null").select("doc_id", "max_depth")
         if limits.isEmpty():
             return c
-        some = c.docs.join(limits, "doc_id", "left")
+        some = c.base.join(limits, "doc_id", "left")
         cut = F.filter("leaves", lambda x: F.col("max_depth").isNull() | (x["depth"] <= F.col("max_depth")))
         return Collection(some.select("doc_id", cut.alias("leaves")), self.config)
 

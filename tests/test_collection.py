@@ -290,3 +290,37 @@ def test_types(spark):
     df = spark.sql("""SELECT 1 AS id, named_struct('a', array(1, 2), 'b', map('k', true)) AS s, DATE '2020-03-04' AS d, CAST(NULL AS STRING) AS n, array(named_struct('x', CAST(NULL AS INT))) AS l""")
     got = {r.path: (r.kind, r.text) for r in Collection.from_table(df, "id").fields.collect()}
     assert got == {"s.a.0": ("number", "1"), "s.a.1": ("number", "2"), "s.b.k": ("text", "true"), "d": ("date", "2020-03-04"), "l.0.x": ("text", "null")}
+
+
+def test_plain_fields_are_as_leaves(spark):
+    """The same table with its fields known to the plan, and with all of them nested in leaves."""
+    r = random.Random(8)
+    rows = [(i, r.choice([None, -3, 0, 4, 7]), r.choice([None, float("nan"), 0.0, -0.0004, 3.9999, 4.0, 4.5, 1e300, float("inf")]), r.choice(["Lamp 4", None, "", "river-lamp", "nan"]), r.choice([None, True])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, size int, big_size double, name string, flag boolean").repartition(3)
+    a = Collection.from_table(df, "id")
+    b = Collection(a.docs)
+    assert a.plain and not b.plain
+    for n in (-3, 0, 3, 4, 5):
+        for op in ("gt", "gte", "lt", "lte"):
+            for field in ("size", "big_size"):
+                assert pairs(getattr(a, op)(field, n)) == pairs(getattr(b, op)(field, n)), (op, field, n)
+        assert pairs(a.between("big_size", -n, n)) == pairs(b.between("big_size", -n, n))
+    assert pairs(a.between("size", -3, 7, exclude=[4])) == pairs(b.between("size", -3, 7, exclude=[4])) != []
+    for words in (["lamp"], ["4"], ["nan"], ["true"], ["inf"], ["river-lamp"], ["3"]):
+        assert ids(a.words(words)) == ids(b.words(words)) and ids(a.not_words(words)) == ids(b.not_words(words))
+        assert sorted(map(str, a.get_postings(words[0]).collect())) == sorted(map(str, b.get_postings(words[0]).collect()))
+    for fields in ([("size", True)], [("big_size", False), ("name", True)]):
+        assert [x.doc_id for x in a.sort_by(fields).collect()] == [x.doc_id for x in b.sort_by(fields).collect()]
+        assert [x.doc_id for x in a.sort_by_leaf(fields).collect()] == [x.doc_id for x in b.sort_by_leaf(fields).collect()]
+    assert [x.doc_id for x in a.sort_by_substring("ig").collect()] == [x.doc_id for x in b.sort_by_substring("ig").collect()]
+    for q in ("x = lamp OR size > 3 OR big_size < 2", "(x = lamp OR size > 3) AND big_size >= 0", "NOT x = lamp AND size <= 4", "big_size < 1 AND (size > 0 OR x = nan)"):
+        assert ids(a.query(q)) == ids(b.query(q)) != []
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    spark.sql("SELECT id, CAST(id % 50 AS INT) AS size, id / 7D AS x, DATE '2020-01-01' + CAST(id AS INT) AS d, 'a' AS t FROM range(1000)").write.parquet(f"{tmp_path}/t")
+    c = Collection.from_table(spark.read.parquet(f"{tmp_path}/t"), "id")
+    for df, want in ((c.gt("size", 40), "GreaterThanOrEqual(size,41)"), (c.between("x", 3, 5), "GreaterThanOrEqual(x,"), (c.date_between("d", "2020-02-01", "2020-02-03"), "GreaterThanOrEqual(d,"), (c.get(3), "EqualTo(id,3)")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert want in plan and "Exchange" not in plan
+    assert "t:string" not in c.gt("size", 40)._jdf.queryExecution().executedPlan().toString()
