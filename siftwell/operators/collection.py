@@ -119,10 +119,22 @@ class Collection:
     @cached_property
     def occurrences(self) -> DataFrame:
         """(doc_id, path, term) for each token."""
-        per_leaf = self.fields.select("doc_id", "path", X.tokens(F.col("text")).alias("ts"))
         if self.config.use_stemming:
-            per_leaf = per_leaf.withColumn("ts", stem.stems(F.col("ts")))
-        return per_leaf.select("doc_id", "path", F.explode("ts").alias("term"))
+            per_leaf = self.fields.select("doc_id", "path", stem.stems(X.tokens(F.col("text"))).alias("ts"))
+            return per_leaf.select("doc_id", "path", F.explode("ts").alias("term"))
+        # outer: else a filter on the array's size would tokenize once more below
+        if len(self.plain) == 1 and not self.nested:
+            f = self.plain[0]
+            return self.base.select("doc_id", F.lit(f.path).alias("path"), F.explode_outer(X.tokens(f.searched)).alias("term")).where("term is not null")
+
+        def of(path: Column, text: Column) -> Column:
+            return F.transform(X.tokens(text), lambda t: F.struct(path.alias("path"), t.alias("term")))
+
+        none = F.array().cast("array<struct<path:string,term:string>>")
+        parts = [F.coalesce(of(F.lit(f.path), f.searched), none) for f in self.plain]
+        if self.nested:
+            parts.append(F.flatten(F.transform("leaves", lambda x: F.coalesce(of(x["path"], x["text"]), F.array().cast("array<struct<path:string,term:string>>")))))
+        return self.base.select("doc_id", F.explode_outer(F.concat(*parts) if parts else none).alias("o")).select("doc_id", "o.path", "o.term").where("term is not null")
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -149,9 +161,17 @@ class Collection:
 
     def stats(self) -> DataFrame:
         """One row: documents, distinct terms, postings, distinct paths, total and average tokens."""
-        d = self.docs.agg(F.count("*").alias("n_docs"), F.sum((F.size("tokens") > 0).cast("long")).alias("n_with_text"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.size(F.array_distinct("tokens"))).alias("n_postings"))
+        count = lambda ok: F.sum(ok.cast("long"))
+        seen = [F.max(f.value.isNotNull().cast("long")).alias(f"has_{i}") for i, f in enumerate(self.plain)]
+        rows = self.base.select("*", *([] if self.tokenized else [self._tokens().alias("tokens")]))
+        d = rows.agg(F.count("*").alias("n_docs"), count(F.size("tokens") > 0).alias("n_with_text"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.size(F.array_distinct("tokens"))).alias("n_postings"), *seen)
         d = d.withColumn("avgdl", F.when(F.col("n_with_text") > 0, F.col("n_tokens") / F.col("n_with_text")))
-        return d.crossJoin(self.vocab.agg(F.count("*").alias("n_terms"))).crossJoin(self.fields.agg(F.count_distinct("path").alias("n_paths")))
+        paths = reduce(lambda x, y: x + y, [F.coalesce(F.col(f"has_{i}"), F.lit(0)) for i in range(len(seen))], F.lit(0).cast("long"))
+        d = d.crossJoin(self.vocab.agg(F.count("*").alias("n_terms")))
+        if self.nested:
+            d = d.crossJoin(self.base.select(F.explode("leaves.path").alias("path")).agg(F.count_distinct("path").alias("n_nested")))
+            paths = paths + F.col("n_nested")
+        return d.select("n_docs", "n_terms", "n_postings", paths.alias("n_paths"), "n_tokens", "n_with_text", "avgdl")
 
     # --- look-ups by word
 
