@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import default_tokenizer
+from .common import default_tokenizer, kept
 
 #: Determinised states, and cached pieces, kept by a worker before it starts afresh.
 MAX_STATES = 250_000
@@ -357,16 +357,10 @@ class StreamDecoder:
         return left.decode("utf-8", "replace")
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str | None = None, by: str = "transducer") -> Encoder:
     """This worker's encoder; kept between batches and tasks."""
     key = (path or default_tokenizer(), by)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    return kept(("encoder", *key), lambda: Encoder(*key))
 
 
 def decode_all(enc: Encoder, ids: np.ndarray, off: np.ndarray, chunk: int = 1 << 14) -> list[str]:

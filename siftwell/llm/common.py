@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +98,25 @@ def broadcast_if(df: DataFrame, n_bytes: int, limit: int) -> DataFrame:
 
 def default_tokenizer() -> str:
     return os.environ.get("SIFTWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """A large object that this Python worker keeps between tasks; it keeps one at a time."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Gives back what an earlier operator kept in this worker. Workers outlive stages, so a task that keeps nothing calls it first."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import fresh, n_buckets, picked, written
+from .common import fresh, n_buckets, picked, release, written
 
 NGRAM = 5
 THRESHOLD = 0.5
@@ -104,6 +104,7 @@ def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
     ])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -146,6 +147,7 @@ def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         grams = [r for r in rows if r["keys"] is not None]
         out = [r for r in rows if r["keys"] is None]
@@ -173,6 +175,7 @@ def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
     ])
 
     def gather(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         head = next(r for r in rows if r["info"] is not None)
         ids, m = head["ids"], len(head["ids"])
@@ -377,6 +380,7 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     out_schema = T.StructType([T.StructField("doc_a", id_type), T.StructField("doc_b", id_type), T.StructField("jaccard", T.DoubleType())])
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in whole_regions(batches):
             ids = table.column("id").combine_chunks()
             a, b, s = join_regions(table.column("pivot").to_numpy(), table.column("size").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], t)

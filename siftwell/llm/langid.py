@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import fresh
+from .common import fresh, release
 
 #: Labelled rows per language that the classifier is fitted on, at most.
 SAMPLE_PER_LANGUAGE = 400
@@ -167,6 +167,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
     shared = src.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and LANDMARKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         for b in batches:
             col = b.column(len(names))

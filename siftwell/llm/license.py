@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import picked
+from .common import picked, release
 
 #: Sentences by which licences of each family are given in documents.
 TEMPLATES: dict[str, list[str]] = {
@@ -217,6 +217,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model |
     rows = hit.select("id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "p")).where(F.col("p").rlike(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         for b in batches:
             got = m.classify(b.column(2).to_pylist())

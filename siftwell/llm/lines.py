@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .common import broadcast_if, fresh, n_buckets, written
+from .common import broadcast_if, fresh, n_buckets, release, written
 
 MAX_EDITS = 2
 #: Shorter lines are never removed: this is part of what the operator means by a line.
@@ -158,6 +158,7 @@ def _near_pairs(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
         })
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, total = [], 0
         for batch in batches:
             for _, part in A.slices(A.as_strings(batch.column(0))):
@@ -174,6 +175,7 @@ def _near_pairs(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
         def col(name: str) -> list[bytes]:
             return t.column(name).to_pylist()
 
+        release()
         ik = np.concatenate([A.unpack_sorted(x, np.uint32) for x in col("ik")])
         ih = np.concatenate([np.frombuffer(x, np.uint64) for x in col("ih")])
         pk = np.concatenate([A.unpack_sorted(x, np.uint32) for x in col("pk")])
@@ -239,6 +241,7 @@ def repeated_lines(df: DataFrame, text: str = "text", order: str = "doc_id", edi
         met = near.join(x, F.col("a") == F.col("h1")).join(y, F.col("b") == F.col("h2")).where(F.abs(F.length("line1") - F.length("line2")) <= edits)
 
         def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release()
             for p in parts:
                 yield p.loc[within(p["line1"].tolist(), p["line2"].tolist(), edits), ["h", "g"]]
 
