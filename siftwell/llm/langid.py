@@ -28,6 +28,8 @@ FEATURES = 6000
 #: Below this highest one-versus-rest score, or without one known n-gram, a text is rejected.
 MIN_SCORE = 0.35
 REJECTED = "unknown"
+#: Characters that fitting looks at together; it covers all of them.
+FIT_CHARS = 400_000
 
 
 @dataclass
@@ -87,16 +89,17 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
     col = A.as_strings(pa.array(texts, pa.string()))
     m = Model(names, _symbols(texts), np.zeros(1 << 24, np.uint16), np.zeros((0, 0), np.float32), None, None)
     # n-grams by document frequency, those that tell languages apart first
-    raw, off = A.string_parts(col)
-    cps, coff, _ = A.codepoints(raw, off)
-    sym = m.symbols[cps].astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), np.diff(coff))
-    seen, code = [], sym
-    for n in range(3):
-        if n:
-            code = (code[:-1] << 8) | sym[n:]
-        ok = row[: len(code)] == row[n:] if n else np.ones(len(code), bool)
-        seen.append(np.unique((code[ok] << 24) | row[n:][ok]))
+    seen = []
+    for lo, part in A.slices(col, FIT_CHARS):
+        raw, off = A.string_parts(part)
+        cps, coff, _ = A.codepoints(raw, off)
+        code = sym = m.symbols[cps].astype(np.int64)
+        row = np.repeat(np.arange(lo, lo + len(part)), np.diff(coff))
+        for n in range(3):
+            if n:
+                code = (code[:-1] << 8) | sym[n:]
+            ok = row[: len(code)] == row[n:] if n else np.ones(len(code), bool)
+            seen.append(np.unique((code[ok] << 24) | row[n:][ok]))
     pairs = np.unique(np.concatenate(seen))
     code, row = pairs >> 24, pairs & 0xFFFFFF
     u, inv = np.unique(code, return_inverse=True)
@@ -108,7 +111,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
     keep = keep[keep > 0]
     m.slot[keep] = np.arange(1, len(keep) + 1)
     m.landmarks = np.zeros((len(keep), 0), np.float32)
-    p = m.presence(col).astype(np.float32)
+    p = np.concatenate([m.presence(A.as_strings(part)) for _, part in A.slices(col, FIT_CHARS)]).astype(np.float32)
     size = np.maximum(p.sum(1), 1)
     # landmarks: in turn of the languages, in the given order
     turn = np.argsort(np.array([np.sum(y[:i] == y[i]) for i in range(len(y))]), kind="stable")[:landmarks]
