@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import default_tokenizer, kept
+from .common import default_tokenizer, kept, trim
 
 #: Determinised states, and cached pieces, kept by a worker before it starts afresh.
-MAX_STATES = 250_000
-MAX_PIECES = 150_000
+MAX_STATES = 180_000
+MAX_PIECES = 100_000
 #: Bytes of text that are split and told apart at once.
 SLICE = 1_000_000
 
@@ -138,7 +138,8 @@ class Transducer:
     def _reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.state: list[tuple] = []
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        self.shared: dict[tuple, tuple] = {}  # equal parts of states are one object
         self.start = self._intern((-1, ((), 0), ()))
 
     def _intern(self, s: tuple) -> int:
@@ -179,7 +180,11 @@ class Transducer:
         # the last token matters only where a guess has no token of its own
         if rest and () not in [r for r, _ in new_open]:
             last = -2
-        return self._intern((last, (rest, 0), tuple(sorted(new_open)))), out
+        one = self.shared.setdefault
+        rest = one(rest, rest)
+        new_open = [one(x, x) for x in ((one(r, r), node) for r, node in sorted(new_open))]
+        done = (rest, 0)
+        return self._intern((last, one(done, done), tuple(new_open))), one(out, out)
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.state) > self.max_states:
@@ -189,9 +194,12 @@ class Transducer:
             k = n << 8 | b
             arc = arcs.get(k)
             if arc is None:
-                arc = arcs[k] = self._step(n, b)
-            n, emitted = arc
-            if emitted:
+                arc = self._step(n, b)
+                arcs[k] = arc = arc if arc[1] else arc[0]
+            if arc.__class__ is int:  # nothing is emitted
+                n = arc
+            else:
+                n, emitted = arc
                 out += emitted
         out += self.state[n][1][0]
         return out
@@ -403,5 +411,7 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
                     back = decode_all(enc, ids, off)
                     cols.append(pa.array(np.array([x == y for x, y in zip(back, part.to_pylist())], bool), mask=null))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                del ids, off, lists, cols
+                trim()
 
     return src.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,11 +113,19 @@ def kept(key: object, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Gives back what an earlier operator kept in this worker. Workers outlive stages, so a task that keeps nothing calls it first."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+    """Gives back what an earlier task left in this worker: what it kept, and memory that is free but still held.
+
+    Workers outlive stages, so a task that keeps nothing calls it first.
+    """
+    _kept.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hands memory that is free but still held back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
