@@ -400,7 +400,7 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
         enc = encoder(path)
         for b in batches:
             given = b.column(keep.index(text))
-            for lo, part in A.slices(A.as_strings(given), 4 * SLICE):
+            for lo, part in A.slices(A.as_strings(given), SLICE):
                 ids, off = enc.encode(part)
                 null = np.asarray(given.slice(lo, len(part)).is_null())
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
