@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,10 @@ SHARED = 8
 LEAF = 512
 #: N-grams that one chunk counts together.
 CHUNK_GRAMS = 4_000_000
+#: What documents with the same set have in common.
+SAME = ["d1", "d2", "size"]
+#: Members of a group of copies that are paired at once.
+MEMBERS = 1000
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,22 +358,15 @@ def join_regions(pivot: np.ndarray, size: np.ndarray, sets: list[np.ndarray], t:
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, jaccard) of documents whose word n-gram sets have a Jaccard index of ``t`` or more.
+def _points(df: DataFrame, text: str, key: str, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents, the points that stand for those with the same set, and near pairs of points.
 
-    Documents with the same set are one point of the metric space: the one with the lowest
-    key stands for it, and the others are paired with that one, at 1.0. Of different sets, every
-    pair within the threshold is there, as a pair of such documents; so all pairs follow, and
-    groups stay linear in size. doc_a < doc_b. Rows with a null key or without a word (null and
-    empty texts) take no part; a key that stands twice is never paired with itself. Whole
-    texts count; other columns are not read.
+    A near pair (node_a, node_b, id_a, id_b, jaccard) has node_a < node_b and comes once for each region that has both.
     """
     docs = picked(df, id=key, text=text).where("id is not null and text is not null")
     every = written(_documents(docs, n, t), "jaccard-documents")
-    same = ["d1", "d2", "size"]
-    points = written(every.groupBy(same).agg(F.min(F.struct("id", "node")).alias("first")).select(*same, "first.id", "first.node"), "jaccard-points")
-    copies = every.select("id", *same).join(points.select(F.col("id").alias("doc_a"), *same), same)
-    copies = copies.where("id > doc_a").select("doc_a", F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    points = every.groupBy(SAME).agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("copies"))
+    points = written(points.select(*SAME, "first.id", "first.node", "copies"), "jaccard-points")
 
     single = every.where("sig is not null").join(points.select("node"), "node", "left_semi")
     single = written(single.select("node", "id", "size", "grams", "sig"), "jaccard-sets")
@@ -377,22 +374,86 @@ def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int
     met = single.select("node", F.explode("sig").alias("g")).select("node", F.min("node").over(by).alias("pivot"), F.count("*").over(by).alias("m"))
     members = met.where("m > 1").select("pivot", "node").distinct()
     id_type = every.schema["id"].dataType
-    out_schema = T.StructType([T.StructField("doc_a", id_type), T.StructField("doc_b", id_type), T.StructField("jaccard", T.DoubleType())])
+    out_schema = T.StructType([
+        T.StructField("node_a", T.LongType()), T.StructField("node_b", T.LongType()), T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("jaccard", T.DoubleType()),
+    ])
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in whole_regions(batches):
-            ids = table.column("id").combine_chunks()
+            ids, node = table.column("id").combine_chunks(), table.column("node").to_numpy()
             a, b, s = join_regions(table.column("pivot").to_numpy(), table.column("size").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], t)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(s, pa.float64())], names=out_schema.names)
+            turned = node[a] > node[b]
+            a, b = np.where(turned, b, a), np.where(turned, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(s, pa.float64())], names=out_schema.names)
 
-    rows = members.join(single.select("node", "id", "size", "grams"), "node").select("pivot", "id", "size", "grams")
+    rows = members.join(single.select("node", "id", "size", "grams"), "node").select("pivot", "id", "size", "grams", "node")
     near = rows.repartition(n_buckets(docs), "pivot").sortWithinPartitions("pivot").mapInArrow(regions, out_schema)
-    near = near.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
+    return every, points, near
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b")]
+
+
+def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
+    """Pairs (doc_a, doc_b, jaccard) that stand for all of ``all_pairs``, folded.
+
+    Documents with the same set are one point of the metric space: the one with the lowest
+    key stands for it, and the others are paired with that one, at 1.0. Of different sets, every
+    pair within the threshold is there, as a pair of such documents; so all pairs follow, and
+    groups stay linear in size. doc_a < doc_b. Rows with a null key or without a word (null and
+    empty texts) take no part; a key that stands twice is never paired with itself. Whole
+    texts count; other columns are not read.
+    """
+    every, points, near = _points(df, text, key, n, t)
+    copies = every.select("id", *SAME).join(points.select(F.col("id").alias("doc_a"), *SAME), SAME)
+    copies = copies.where("id > doc_a").select("doc_a", F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    near = near.where("id_a <> id_b").select(*_ordered("id_a", "id_b"), "jaccard")
     # a pair meets in every region that has both; keys that stand twice may give it with two values
     return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
+    """All pairs (doc_a, doc_b, jaccard) of documents whose word n-gram sets have a Jaccard index of ``t`` or more.
+
+    Each pair comes once, doc_a < doc_b, copies with copies and with all near documents too; so a
+    group of k copies gives k (k - 1) / 2 rows. Which rows take part is as in ``jaccard_join``.
+    Groups travel as arrays of up to MEMBERS keys; pairs are made of two arrays at a time, after the last shuffle.
+    """
+    every, points, near = _points(df, text, key, n, t)
+    many = points.where("copies > 1").select(F.col("node").alias("point"), *SAME)
+    members = every.select("id", *SAME).join(many, SAME).select("point", "id").distinct()
+    group = Window.partitionBy("point")
+    members = members.withColumn("k", F.row_number().over(group.orderBy("id"))).withColumn("last", F.expr(f"int((count(*) over (partition by point) - 1) div {MEMBERS})"))
+    blocks = members.groupBy("point", "last", F.expr(f"int((k - 1) div {MEMBERS})").alias("block")).agg(F.collect_list("id").alias("ids"))
+    blocks = written(blocks, "jaccard-groups")
+    parts = n_buckets(picked(df, id=key, text=text))
+
+    def pairs(arrays: DataFrame) -> DataFrame:
+        one = arrays.select(F.explode("a").alias("x"), "b", "jaccard").select("x", F.explode("b").alias("y"), "jaccard")
+        return one.select(*_ordered("x", "y"), "jaccard")
+
+    # copies: every two blocks of a group, a block with itself too
+    left = blocks.select("point", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("ids").alias("a"))
+    right = blocks.select("point", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("b"))
+    both = left.join(right, ["point", "i", "j"])
+    copies = pairs(both.where("i < j").select("a", "b", F.lit(1.0).alias("jaccard")))
+    within = both.where("i = j").select(F.posexplode("a").alias("k", "x"), "b").select("x", F.explode(F.expr("slice(b, k + 2, size(b))")).alias("y"), F.lit(1.0).alias("jaccard"))
+    copies = copies.unionByName(within.select(*_ordered("x", "y"), "jaccard"))
+
+    # near pairs: all members of the one point with all of the other
+    near = near.groupBy("node_a", "node_b", "id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+    for side in ("a", "b"):
+        own = blocks.select(F.col("point").alias(f"node_{side}"), F.col("ids").alias(side), F.col("block").alias(f"block_{side}"))
+        near = near.join(own, f"node_{side}", "left").withColumn(side, F.coalesce(side, F.array(f"id_{side}")))
+    near = near.select("node_a", "node_b", "block_a", "block_b", "a", "b", "jaccard").repartition(parts, "node_a", "node_b", "block_a", "block_b")
+    out = pairs(near).where("doc_a <> doc_b").unionByName(copies)
+    if every.groupBy("id").count().where("count > 1").limit(1).count():  # a pair may then come more than once
+        out = out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return out
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the lowest key of each node's connected group, by alternating large and small stars.
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from siftwell.llm import jaccard as J
+from siftwell.llm.queries import op1_ngram_jaccard
 
 SCHEMA = "doc_id long, text string, grams string, node string, id string"
 
@@ -61,6 +62,33 @@ def test_against_brute_force(spark, n, t):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize(("n", "t", "members"), [(5, 0.5, 1000), (2, 0.8, 3), (1, 0.6, 1)])
+def test_all_pairs_against_brute_force(spark, monkeypatch, n, t, members):
+    """The rows as they are: copies with copies, and near documents with every copy."""
+    monkeypatch.setattr(J, "MEMBERS", members)
+    rows = corpus(n)
+    df = spark.createDataFrame([(d, x, "g", "n", "i") for d, x in rows], SCHEMA).repartition(3)
+    got = [(x.doc_a, x.doc_b, round(x.jaccard, 9)) for x in J.all_pairs(df, n=n, t=t).collect()]
+    want = brute(rows, n, t)
+    assert sorted(got) == sorted((a, b, round(j, 9)) for (a, b), j in want.items())
+    assert len(want) > J.jaccard_join(df, n=n, t=t).count()
+
+
+def test_query_has_all_pairs(spark, tmp_path):
+    rows = [(i, "one two three four five six", "", "", "") for i in range(4)] + [(9, "one two three four five six seven", "", "", "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_a, x.doc_b) for x in op1_ngram_jaccard(spark, str(tmp_path)).collect())
+    assert got == [(a, b) for a in (0, 1, 2, 3, 9) for b in (0, 1, 2, 3, 9) if a < b]
+
+
+def test_all_pairs_of_keys_that_stand_twice(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, a, "", "", ""), (1, b, "", "", ""), (2, a, "", "", ""), (3, b, "", "", ""), (3, b + " s", "", "", ""), (1, a, "", "", ""), (None, a, "", "", ""), (4, "", "", "", "")]
+    got = sorted((x.doc_a, x.doc_b, round(x.jaccard, 6)) for x in J.all_pairs(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 2, 1.0), (1, 3, 1.0)]
+    assert J.all_pairs(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_regions_recurse_exactly(monkeypatch):
     monkeypatch.setattr(J, "LEAF", 16)
     r = np.random.default_rng(1)
