@@ -5,6 +5,10 @@ The blended-spectrum presence kernel of two texts is the number of character n-g
 against landmark texts make it linear; one-versus-rest kernel ridge regression is solved
 on a bounded labelled sample. Scoring is one sparse-to-dense presence matrix and two
 matrix products for each slice of a batch.
+
+Scores of a text sum to 1, so they tell languages apart but not a text in none of them. That is
+told by coverage: the share of a text's n-grams that are usual in its language, against a floor that
+``fit`` calibrates on its rows, each left out of its own language, and each with its whole language left out.
 """
 
 from __future__ import annotations
@@ -25,9 +29,13 @@ from .common import fresh, release
 SAMPLE_PER_LANGUAGE = 400
 LANDMARKS = 96
 FEATURES = 6000
-#: Below this highest one-versus-rest score, or without one known n-gram, a text is rejected.
+#: Below this highest one-versus-rest score, under its language's floor of coverage, or without one known n-gram, a text is rejected.
 MIN_SCORE = 0.35
 REJECTED = "unknown"
+#: An n-gram is usual in a language where this share of its rows have it.
+USUAL = 0.01
+#: Rows of a language that its floor may reject, and rows of languages left out that should be under it.
+LOST, CAUGHT = 0.005, 0.95
 #: Characters that fitting looks at together; it covers all of them.
 FIT_CHARS = 400_000
 
@@ -36,27 +44,48 @@ FIT_CHARS = 400_000
 class Model:
     labels: list[str]
     symbols: np.ndarray  # code point -> 1..254 for frequent ones, 255 for the rest, 0 for a break
-    slot: np.ndarray  # 1-, 2-, 3-gram code -> feature + 1, 0 for none
+    slot: np.ndarray  # 1-, 2-, 3-gram code -> feature + 1, or a number past the features for other usual n-grams, 0 for none
     landmarks: np.ndarray  # features x landmarks, presence over the root of the landmark's norm
     weights: np.ndarray  # landmarks x labels: Nyström map times ridge solution
     bias: np.ndarray
+    usual: np.ndarray  # slots x labels: n-grams that are usual in a language
+    floor: np.ndarray  # coverage by label under which a text is in no language
 
-    def presence(self, texts: pa.Array) -> np.ndarray:
-        """0/1 matrix of texts and features; whole texts."""
+    def slots(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text number, slot) of every n-gram with a letter, n by n; whole texts."""
         raw, off = A.string_parts(texts)
         cps, coff, _ = A.codepoints(raw, off)
-        out = np.zeros(len(texts) * (self.landmarks.shape[0] + 1), np.uint8)
-        if len(cps):
-            sym = self.symbols[cps].astype(np.int32)
-            row = np.repeat(np.arange(len(texts), dtype=np.int64) * (self.landmarks.shape[0] + 1), np.diff(coff))
-            code = sym.copy()
-            out[row + self.slot[code]] = 1
-            for n in (1, 2):
-                if len(sym) > n:
-                    code = (code[:-1] << 8) | sym[n:]
-                    r = row[n:]
-                    same = row[:-n] == r  # an n-gram lies in one text
-                    out[(r + self.slot[code])[same]] = 1
+        code = sym = self.symbols[cps].astype(np.int32)
+        row = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(coff))
+        for n in range(3):
+            if len(sym) > n:
+                code = (code[:-1] << 8) | sym[n:] if n else code
+                r = row[n:]
+                use = (row[: len(r)] == r) & (code > 0)  # an n-gram lies in one text
+                yield r[use], self.slot[code[use]]
+
+    def coverage(self, texts: pa.Array, label: np.ndarray) -> np.ndarray:
+        """The share of each text's n-grams that are usual in its label; 0 without one."""
+        have, every = np.zeros(len(texts)), np.zeros(len(texts))
+        flat, names = self.usual.ravel(), len(self.labels)
+        for row, slot in self.slots(texts):
+            have += np.bincount(row, flat[slot.astype(np.int64) * names + label[row]], len(texts))
+            every += np.bincount(row, minlength=len(texts))
+        return have / np.maximum(every, 1)
+
+    def identify(self, texts: pa.Array, min_score: float = MIN_SCORE) -> tuple[list[str], np.ndarray]:
+        """Label, or REJECTED, and highest score."""
+        s = self.score(texts)
+        best, top = s.argmax(1), s.max(1).astype(np.float64)
+        ok = (top >= min_score) & (self.coverage(texts, best) >= self.floor[best])
+        return [self.labels[k] if x else REJECTED for k, x in zip(best.tolist(), ok.tolist())], top
+
+    def presence(self, texts: pa.Array) -> np.ndarray:
+        """0/1 matrix of texts and features; whole texts."""
+        width = self.landmarks.shape[0] + 1
+        out = np.zeros(len(texts) * width, np.uint8)
+        for row, slot in self.slots(texts):
+            out[row * width + np.where(slot < width, slot, 0)] = 1
         return out.reshape(len(texts), -1)[:, 1:]
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -87,7 +116,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
     col = A.as_strings(pa.array(texts, pa.string()))
-    m = Model(names, _symbols(texts), np.zeros(1 << 24, np.uint16), np.zeros((0, 0), np.float32), None, None)
+    m = Model(names, _symbols(texts), np.zeros(1 << 24, np.uint16), np.zeros((0, 0), np.float32), None, None, None, None)
     # n-grams by document frequency, those that tell languages apart first
     seen = []
     for lo, part in A.slices(col, FIT_CHARS):
@@ -99,8 +128,9 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
             if n:
                 code = (code[:-1] << 8) | sym[n:]
             ok = row[: len(code)] == row[n:] if n else np.ones(len(code), bool)
-            seen.append(np.unique((code[ok] << 24) | row[n:][ok]))
-    pairs = np.unique(np.concatenate(seen))
+            seen.append(np.unique((code[ok] << 24) | row[n:][ok], return_counts=True))
+    pairs, inv = np.unique(np.concatenate([x for x, _ in seen]), return_inverse=True)
+    times = np.bincount(inv, np.concatenate([x for _, x in seen]), len(pairs))
     code, row = pairs >> 24, pairs & 0xFFFFFF
     u, inv = np.unique(code, return_inverse=True)
     by = np.zeros((len(u), len(names)))
@@ -109,7 +139,16 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
     spread = rate.max(1) - rate.min(1) if len(names) > 1 else rate.max(1)
     keep = u[np.lexsort((u, -spread))][: min(features, 65_000)]
     keep = keep[keep > 0]
-    m.slot[keep] = np.arange(1, len(keep) + 1)
+    count = np.bincount(y, minlength=len(names))
+    least = np.maximum(np.ceil(USUAL * count), 1)
+    more = np.setdiff1d(u[(by >= least).any(1)], np.append(keep, 0))
+    if len(keep) + len(more) > 0xFFFF:
+        m.slot = m.slot.astype(np.uint32)
+    m.slot[np.append(keep, more)] = np.arange(1, len(keep) + len(more) + 1)
+    m.usual = np.zeros((len(keep) + len(more) + 1, len(names)), np.uint8)
+    m.usual[m.slot[u]] = by >= least
+    m.usual[0] = 0
+    m.floor = _floor(inv[code > 0], row[code > 0], times[code > 0], by, least, y)
     m.landmarks = np.zeros((len(keep), 0), np.float32)
     p = np.concatenate([m.presence(A.as_strings(part)) for _, part in A.slices(col, FIT_CHARS)]).astype(np.float32)
     size = np.maximum(p.sum(1), 1)
@@ -132,6 +171,28 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, feature
     return m
 
 
+def _floor(gram: np.ndarray, row: np.ndarray, times: np.ndarray, by: np.ndarray, least: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least coverage by label, from how often (``times``) each row has each n-gram.
+
+    Between what rows reach in their own language without themselves and what they reach in another
+    one; where these overlap, as low as loses LOST of the own ones. No floor for a language with one row.
+    """
+    n, names = len(y), by.shape[1]
+    every = np.maximum(np.bincount(row, times, n), 1)
+    reach = np.stack([np.bincount(row, times * (by[gram, k] - (y[row] == k) >= least[k]), n) / every for k in range(names)], 1)
+    own = reach[np.arange(n), y]
+    reach[np.arange(n), y] = -1
+    other, most = reach.argmax(1), reach.max(1)  # with its language left out
+    floor = np.zeros(names)
+    for k in range(names):
+        if (y == k).sum() > 1:
+            floor[k] = low = np.quantile(own[y == k], LOST, method="lower")
+            strange = most[(other == k) & (most >= 0)]
+            if len(strange):
+                floor[k] = min(low, (low + np.quantile(strange, CAUGHT)) / 2)
+    return floor
+
+
 def labelled_sample(df: DataFrame, text: str, label: str, key: str, per_label: int) -> tuple[list[str], list[str]]:
     """About ``per_label`` rows of each label, the same ones every time.
 
@@ -159,7 +220,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
     """The columns ``keep`` (default: all) with the language and its score for every row.
 
     A text is rejected, with language "unknown", when its highest score is under ``min_score``
-    or it has no known n-gram (empty texts, signs only), or when there is no model because no
+    or less of it is usual in its language than in texts of that language, or it has no known n-gram (empty texts, signs only), or when there is no model because no
     row was labelled; its score stays. A null text has null in both. Ties go to the label first in
     the alphabet. Kept columns named like a result are replaced.
     """
@@ -182,9 +243,9 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
                         best += [REJECTED] * len(part.slice(i, 512))
                         top.append(np.full(len(part.slice(i, 512)), -1.0))
                         continue
-                    s = m.score(A.as_strings(part.slice(i, 512)))
-                    top.append(s.max(1).astype(np.float64))
-                    best += [m.labels[k] if x >= min_score else REJECTED for k, x in zip(s.argmax(1).tolist(), top[-1].tolist())]
+                    found, high = m.identify(A.as_strings(part.slice(i, 512)), min_score)
+                    best += found
+                    top.append(high)
             null = np.asarray(col.is_null())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string(), mask=null), pa.array(np.concatenate(top) if top else np.zeros(0), mask=null)], names=schema.names)
 

@@ -34,6 +34,20 @@ def test_held_out_accuracy():
     assert np.mean(right) > 0.97
 
 
+def test_texts_of_a_language_without_labels_are_rejected():
+    r = random.Random(5)
+    for left in SYLLABLES:
+        known = [k for k in SYLLABLES if k != left]
+        m = langid.fit([text(r, k, 30) for k in known for _ in range(80)], [k for k in known for _ in range(80)])
+        new = m.identify(A.as_strings(pa.array([text(r, left, 30) for _ in range(100)])))[0]
+        assert np.mean([k == langid.REJECTED for k in new]) > 0.95
+        want = [k for k in known for _ in range(60)]
+        got = m.identify(A.as_strings(pa.array([text(r, k, 30) for k in want])))[0]
+        assert np.mean([a == b for a, b in zip(got, want)]) > 0.97
+    other = ["Кошка спит на стуле у окна, пока идёт дождь", "Kot śpi na krześle obok okna podczas deszczu"]
+    assert m.identify(A.as_strings(pa.array(other)))[0] == [langid.REJECTED] * 2
+
+
 def test_presence_counts_common_ngrams():
     r = random.Random(2)
     texts = [text(r, k, 6) for k in SYLLABLES for _ in range(4)]
