@@ -103,7 +103,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     covers: list[tuple[int, set[int]]]  # family, features of a template
-    marks: set[str]  # words that any licence sentence has besides what the corpus says anyway
+    marks: set[str]  # a paragraph without one of these words can only be "none"
 
     def probabilities(self, paragraphs: list[str]) -> tuple[np.ndarray, list[set[int]]]:
         feats = [{self.code[g] for g in ngrams(words(p)) if g in self.code} for p in paragraphs]
@@ -183,11 +183,37 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 400) -> Model:
     losses = {t: -np.log(_softmax(z / t)[np.arange(len(k)), k] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
     m.temperature = min(losses, key=losses.get)
     m.covers = [(FAMILIES.index(f), {code[g] for g in ngrams(words(t))}) for f, ts in TEMPLATES.items() for t in ts]
-    # a paragraph without one of these words can only be "none": every template and every trained positive weight needs one
-    m.marks = {"license", "licence", "licensed", "licenses", "licences", "copyright", "rights", "permission", "redistribution", "redistribute", "proprietary", "cc0", "spdx", "warranties", "creative"}
+    m.marks = _marks(m, negatives)
     return m
 
 
+def _marks(m: Model, negatives: list[str]) -> set[str]:
+    """Words that a paragraph needs one of for any family to score above "none".
+
+    By the weights: a family is ahead only if its n-grams' gains over "none" make up for the bias, and for no
+    family can those n-grams do so that are made of other words alone. Frequent words are left out first.
+    """
+    grams = list(m.code)
+    gain = np.maximum(m.weights[:, 1:] - m.weights[:, :1], 0).astype(np.float64)
+    short = (m.bias[0] - m.bias[1:]).astype(np.float64) - 1e-4  # float32 sums
+    vocabulary = {g[0] for g in grams if len(g) == 1}
+    seen: dict[str, int] = {}
+    for p in negatives:
+        for w in set(words(p)) & vocabulary:
+            seen[w] = seen.get(w, 0) + 1
+    inside, has = np.zeros(len(grams), bool), {w: [i for i, g in enumerate(grams) if w in g] for w in vocabulary}
+    out: set[str] = set()
+    for w in sorted(vocabulary, key=lambda w: (-seen.get(w, 0), len(has[w]), w)):
+        new = [i for i in has[w] if all(x == w or x in out for x in grams[i])]
+        inside[new] = True
+        best = np.sort(gain[inside], 0)[::-1].cumsum(0)
+        if (best / np.sqrt(np.arange(2, len(best) + 2))[:, None] <= short).all():
+            out.add(w)
+        else:
+            inside[new] = False
+    return vocabulary - out
+
+
 def sample_paragraphs(docs: DataFrame, n: int = SAMPLE) -> list[str]:
     """About ``n`` paragraphs without a licence's marks: one of each document, by the key's hash, at a rate from the count."""
     total = docs.count()
@@ -212,9 +238,8 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model |
     shared = df.sparkSession.sparkContext.broadcast(model)  # templates' n-grams: fixed size
     schema = T.StructType([T.StructField(key, docs.schema["id"].dataType), T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("cover", T.DoubleType())])
     # The classifier's marks by themselves, in the JVM: only paragraphs with one can be anything but "none".
-    mark = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(sorted(model.marks)) + ")(?![\\p{L}\\p{N}])"
-    hit = docs.where(F.col("text").rlike("(?i)" + "|".join(sorted({m[:6] for m in model.marks}))))
-    rows = hit.select("id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "p")).where(F.col("p").rlike(mark))
+    mark = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(sorted(model.marks)) + ")(?![\\p{L}\\p{N}])"
+    rows = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "p")).where(F.col("p").rlike(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

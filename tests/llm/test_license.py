@@ -52,3 +52,19 @@ def test_scan(spark, model):
     got = sorted(((r.doc_id, r.paragraph, r.family) for r in L.scan(spark.createDataFrame(rows, SCHEMA), model=model).collect()), key=str)
     assert got == sorted([(1, 1, "mit"), (4, 2, "cc-by-nc"), (None, 0, "proprietary"), (6, 0, "proprietary"), (6, 1, "proprietary")], key=str)
     assert L.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lines_without_a_licence_word_are_scored(spark, model):
+    texts = ["Available under CC BY 4.0.", "Released under the BSD 3-Clause terms.", "plain sentence"]
+    got = L.scan(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA), model=model).collect()
+    assert sorted((r.doc_id, r.family) for r in got) == [(0, "cc-by"), (1, "bsd")]
+
+
+def test_marks_lose_nothing(model):
+    """Whatever the classifier doesn't call "none" has a mark."""
+    r = random.Random(11)
+    vocabulary = sorted({g[0] for g in model.code})
+    cut = [" ".join(w[i : i + r.randint(1, 8)]) for ts in [*L.TEMPLATES.values(), L.UNKNOWN] for t in ts for w in [t.split()] for i in range(len(w))]
+    rows = cut + [" ".join(r.choices(vocabulary, k=r.randint(1, 12))) for _ in range(2000)] + [" ".join(r.choices(sorted(set(vocabulary) - model.marks), k=r.randint(1, 30))) for _ in range(2000)]
+    found = [p for p, (f, _, _) in zip(rows, model.classify(rows)) if f != "none"]
+    assert len(found) > 100 and all(model.marks & set(L.words(p)) for p in found)
