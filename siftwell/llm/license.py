@@ -130,6 +130,43 @@ class Model:
         return out
 
 
+    def find(self, text: str) -> list[tuple[int, str, float, float]]:
+        """(line number, family, probability, cover) of licences in lines, and in runs of lines without a blank one.
+
+        A run counts, at its first line, for a family that none of its lines gives, or as unknown where
+        none gives a licence. Lines that are unknown by themselves and mostly in a template of the run's family are part of it.
+        """
+        lines = text.split("\n")
+        marked = [not self.marks.isdisjoint(words(x)) for x in lines]
+        own = {i: (i, *got) for i, got in self._hits([(i, lines[i]) for i, x in enumerate(marked) if x])}
+        runs, lo = [], 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or not lines[i].strip():
+                if i - lo > 1 and any(marked[lo:i]):
+                    runs.append(((lo, i), "\n".join(lines[lo:i])))
+                lo = i + 1
+        out = []
+        for (lo, hi), (family, p, cover) in self._hits(runs):
+            have = {own[i][1] for i in range(lo, hi) if i in own}
+            if family in have or (family == "unknown" and have):
+                continue
+            if family != "unknown":
+                for i in range(lo, hi):
+                    if i in own and own[i][1] == "unknown" and self._part(lines[i], family):
+                        del own[i]
+            out.append((lo, family, p, cover))
+        return sorted([*own.values(), *out])
+
+    def _hits(self, paragraphs: list) -> list:
+        """(key, (family, probability, cover)) of the (key, paragraph) that give a licence."""
+        return [(k, got) for (k, _), got in zip(paragraphs, self.classify([p for _, p in paragraphs])) if got[0] != "none"]
+
+    def _part(self, line: str, family: str) -> bool:
+        grams = ngrams(words(line))
+        feats = {self.code[g] for g in grams if g in self.code}
+        return any(len(c & feats) >= MIN_COVER * len(grams) for fam, c in self.covers if FAMILIES[fam] == family)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
     return e / e.sum(1, keepdims=True) if len(z) else z
@@ -229,7 +266,8 @@ def sample_paragraphs(docs: DataFrame, n: int = SAMPLE) -> list[str]:
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None) -> DataFrame:
     """A row (key, paragraph, family, probability, cover) for each paragraph that gives a licence.
 
-    Paragraphs are lines, numbered from 0, whole texts. ``family`` "unknown" is a licence of no
+    Paragraphs are lines and runs of lines that no blank line divides, numbered from 0 by their (first) line, whole
+    texts; what is wrapped over lines has the row of its run (``Model.find``). ``family`` "unknown" is a licence of no
     known family or one that its templates don't confirm. Texts without a licence, null and empty ones
     have no row; rows with equal or null keys are scanned one by one. Narrow: no shuffle.
     """
@@ -237,17 +275,17 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model |
     model = model or fit(sample_paragraphs(docs))
     shared = df.sparkSession.sparkContext.broadcast(model)  # templates' n-grams: fixed size
     schema = T.StructType([T.StructField(key, docs.schema["id"].dataType), T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("cover", T.DoubleType())])
-    # The classifier's marks by themselves, in the JVM: only paragraphs with one can be anything but "none".
+    # The classifier's marks by themselves, in the JVM: only texts with one can have anything but "none".
     mark = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(sorted(model.marks)) + ")(?![\\p{L}\\p{N}])"
-    rows = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "p")).where(F.col("p").rlike(mark))
+    rows = docs.where(F.col("text").rlike(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         m = shared.value
         for b in batches:
-            got = m.classify(b.column(2).to_pylist())
-            keep = pa.array([f != "none" for f, _, _ in got], pa.bool_())
-            cols = [b.column(0), b.column(1), pa.array([f for f, _, _ in got], pa.string()), pa.array([round(p, 4) for _, p, _ in got], pa.float64()), pa.array([round(c, 4) for _, _, c in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(keep)
+            got = [(i, *x) for i, t in enumerate(b.column(1).to_pylist()) for x in m.find(t)]
+            at, paragraph, family, p, cover = zip(*got) if got else ((),) * 5
+            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(paragraph, pa.int32()), pa.array(family, pa.string()), pa.array([round(x, 4) for x in p], pa.float64()), pa.array([round(x, 4) for x in cover], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return rows.mapInArrow(run, schema)

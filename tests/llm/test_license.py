@@ -68,3 +68,11 @@ def test_marks_lose_nothing(model):
     rows = cut + [" ".join(r.choices(vocabulary, k=r.randint(1, 12))) for _ in range(2000)] + [" ".join(r.choices(sorted(set(vocabulary) - model.marks), k=r.randint(1, 30))) for _ in range(2000)]
     found = [p for p, (f, _, _) in zip(rows, model.classify(rows)) if f != "none"]
     assert len(found) > 100 and all(model.marks & set(L.words(p)) for p in found)
+
+
+def test_wrapped_licences(spark, model):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction."
+    gpl = "# This program is free software: you can redistribute it and/or modify it under\n# the terms of the GNU General Public License as published by the Free Software\n# Foundation, either version 3 of the License, or (at your option) any later version."
+    texts = [mit, "Title\n\n" + gpl + "\n\nEnd", "Released under the MIT License.\nAll rights reserved.", mit.replace("\n", " ")]
+    got = L.scan(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA), model=model).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(0, 0, "mit"), (1, 2, "gpl"), (2, 0, "mit"), (2, 1, "proprietary"), (3, 0, "mit")]
