@@ -2,33 +2,39 @@
 
 1. *Counting.* Distinct n-grams travel once, packed by hash bucket and chunk; what comes
    back to a chunk are the n-grams that two documents or more have. Only these can be in an
-   intersection, so they are all that is kept of a document.
+   intersection, so they are all that is kept of a document. Equal sets are one point.
 2. *Regions.* Unrelated documents are at Jaccard distance 1 from each other and from any
-   pivot, so pivots are found through the rarest n-grams: with n-grams ordered by document
-   count, two documents within the threshold share one of their first
+   pivot, so no pivot tells them apart; regions are found through the rarest n-grams: with
+   n-grams ordered by document count, two documents within the threshold share one of their first
    ``n - ceil(t n) + 1`` n-grams (and ``l`` of their first ``n - ceil(t n) + l``, so that who has
-   fewer with a count of two is out). For each such n-gram the first document that has it is the
-   pivot, and every document is replicated to the regions of all pivots it meets so.
-3. *Recursion.* Inside a region documents go to the Voronoi cells of further pivots, and,
-   where the triangle inequality leaves a partner possible (a distance within
-   ``2 (1 - t)`` of that to the home pivot), to the neighbouring cells too. Small cells, and
-   those that don't divide, are joined by set intersections as matrix products.
+   fewer with a count of two is out). For each such n-gram the first point that has it is the
+   region's pivot, and every point is replicated to the regions of all pivots it meets so. A
+   region of very many points is divided into pairs of blocks, a task each.
+3. *Recursion.* Inside a region, points within a radius of their nearest pivot make its Voronoi
+   cell; the triangle inequality gives the window (the cell's own radius + 1 - t) in which points
+   of later cells are replicated to it, and each cell is joined the same way with a smaller
+   radius. Points near no pivot are joined around pivots of their own. In the smallest cells the
+   sums of two distances to the pivot settle most pairs unseen: up to 1 - t they are links. Only
+   the rest are verified, by set intersections as matrix products.
+
+A pair meets in each region that has both; it counts in the first one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .common import fresh, n_buckets, picked, release, written
+from .common import broadcast_if, fresh, n_buckets, picked, release, written
 
 NGRAM = 5
 THRESHOLD = 0.5
@@ -42,8 +48,12 @@ LEAF = 512
 CHUNK_GRAMS = 4_000_000
 #: What documents with the same set have in common.
 SAME = ["d1", "d2", "size"]
-#: Members of a group of copies that are paired at once.
-MEMBERS = 1000
+#: Radii of the cells of each recursion, as parts of 1 - t. In a cell of half of it all pairs are links.
+RADII = (0.8, 0.5)
+#: Points of a region that are joined in one task; larger regions are divided into pairs of blocks.
+BLOCK = 16_384
+#: Sides of joins up to this size are broadcast.
+BROADCAST = 8 << 20
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +105,7 @@ def _loose(b: bytes) -> bytes:
 
 
 def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """A row for each document with words: node, id, size, digest, shared n-grams and signature.
+    """A row for each document: node, id, size (0 without words), digest, shared n-grams and signature.
 
     ``grams`` (sorted 64-bit hashes of n-grams that others have too) and ``sig`` (those of them
     among the first by document count) are null where no partner is possible.
@@ -197,11 +207,10 @@ def _documents(docs: DataFrame, n: int, t: float) -> DataFrame:
         longer, least = shared_least(size, t)
         take = np.clip(size - need(size, t) + longer - own, 0, np.diff(at))
         take[take < least] = 0
-        some = np.flatnonzero(size)
-        grams = [np.sort(h[at[i] : at[i + 1]]).tobytes() if take[i] else None for i in some]
-        sig = [h[at[i] : at[i] + take[i]].view(np.int64) if take[i] else None for i in some]
+        grams = [np.sort(h[at[i] : at[i + 1]]).tobytes() if take[i] else None for i in range(m)]
+        sig = [h[at[i] : at[i] + take[i]].view(np.int64) if take[i] else None for i in range(m)]
         return pa.table([
-            pa.array((head["chunk"] << 20) + some), pa.array([ids[i] for i in some], table.schema.field("ids").type.value_type), pa.array(size[some]), pa.array(info[1][some]), pa.array(info[2][some]),
+            pa.array((head["chunk"] << 20) + np.arange(m)), pa.array(ids, table.schema.field("ids").type.value_type), pa.array(size), pa.array(info[1]), pa.array(info[2]),
             pa.array(grams, pa.binary()), pa.array(sig, pa.list_(pa.int64())),
         ], names=doc_schema.names)
 
@@ -257,201 +266,348 @@ class Region:
         m[r[i:j], c[i:j] - lo] = 1
         return m
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of a x b within the threshold."""
-        x = self.inter(a, b)
-        j = x / (self.size[a][:, None] + self.size[b][None, :] - x)
-        p, q = np.nonzero(j >= self.t - 1e-7)
-        exact = x[p, q].astype(np.float64) / (self.size[a[p]] + self.size[b[q]] - x[p, q].astype(np.int64))
-        ok = exact >= self.t - 1e-12
-        return a[p[ok]], b[q[ok]], exact[ok]
-
-    def blocks(self, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All pairs, by blocks in order of size; blocks whose sizes are too far apart are left out."""
-        docs, out = docs[np.argsort(self.size[docs], kind="stable")], []
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = self.inter(a, b).astype(np.float64)
+        d = 1 - x / (self.size[a][:, None] + self.size[b][None, :] - x)
+        d[a[:, None] == b[None, :]] = 0  # n-grams of one document alone aren't in its set here
+        return d
+
+    def blocks(self, docs: np.ndarray, others: np.ndarray, within: bool, out: Found) -> None:
+        """Pairs of docs and others, and within docs, by blocks in order of size; blocks whose sizes are too far apart are left out."""
+        t, by_size = self.t, lambda x: x[np.argsort(self.size[x], kind="stable")]
+        docs = by_size(docs)
+        sides = [(docs, True)] * within + [(by_size(others), False)]
         for i in range(0, len(docs), LEAF):
             a = docs[i : i + LEAF]
-            for j in range(i, len(docs), LEAF):
-                b = docs[j : j + LEAF]
-                if self.size[a[-1]] < self.t * self.size[b[0]] - 1e-9:
-                    break
-                x, y, s = self.near(a, b)
-                if i == j:
-                    x, y, s = x[x < y], y[x < y], s[x < y]
-                out.append((x, y, s))
-        return out
+            for side, own in sides:
+                for j in range(i if own else 0, len(side), LEAF):
+                    b = side[j : j + LEAF]
+                    if self.size[a[-1]] < t * self.size[b[0]] - 1e-9:
+                        break
+                    if self.size[b[-1]] >= t * self.size[a[0]] - 1e-9:
+                        self.verify(a, b, None, own and i == j, out)
+
+    def verify(self, a: np.ndarray, b: np.ndarray, begin: np.ndarray | None, half: bool, out: Found) -> None:
+        """Pairs of a and b within the threshold; of b[k], only those from a[begin[k]] on. ``half``: a is b, each pair once."""
+        x = self.inter(a, b)
+        p, q = np.nonzero(x >= np.float32(self.t / (1 + self.t)) * (self.size[a][:, None] + self.size[b][None, :]).astype(np.float32) - np.float32(0.01))
+        ok = p < q if half else p >= begin[q] if begin is not None else np.ones(len(p), bool)
+        p, q = p[ok], q[ok]
+        both = x[p, q].astype(np.float64)
+        j = both / (self.size[a[p]] + self.size[b[q]] - both)
+        ok = j >= self.t - 1e-12
+        out.pairs(a[p[ok]], b[q[ok]], j[ok])
+
+    def divide(self, docs: np.ndarray, others: np.ndarray, within: bool, out: Found, level: int = 0) -> None:
+        """All links of docs and others, and within docs, by Voronoi cells of pivots among docs."""
+        if not len(docs) or not (within or len(others)):
+            return
+        if len(docs) + len(others) <= LEAF:
+            return self.blocks(docs, others, within, out)
+        eps, last = 1 - self.t, level == len(RADII) - 1
+        radius = RADII[level] * eps - 1e-9
+        while len(docs):
+            k = min(64, 2 + len(docs) // LEAF, len(docs))
+            every = np.concatenate([docs, others])
+            d = self.distance(every, docs[(np.arange(k) * len(docs)) // k])
+            home = d[: len(docs)].argmin(1)
+            near = d[np.arange(len(docs)), home]
+            far = near > radius
+            home[far] = k
+            for j in np.unique(home[~far]).tolist():
+                inner = np.flatnonzero(home == j)
+                rest = np.arange(len(docs), len(every))
+                if within:  # a pair of two cells is found in the first
+                    rest = np.concatenate([np.flatnonzero(home > j), rest])
+                outer = rest[d[rest, j] <= near[inner].max() + eps + 1e-9]
+                out.cells += 1
+                if last:
+                    inner = inner[np.argsort(near[inner], kind="stable")]
+                    self.cell(every[inner], near[inner], every[outer], d[outer, j], within, out)
+                else:
+                    self.divide(every[inner], every[outer], within, out, level + 1)
+            docs = docs[far]
+
+    def cell(self, inner: np.ndarray, d: np.ndarray, outer: np.ndarray, e: np.ndarray, within: bool, out: Found) -> None:
+        """Links of a cell of half the reach. ``d``, ``e``: distances to the pivot, d rising."""
+        eps = 1 - self.t
+        begin = np.searchsorted(d, e - eps - 1e-9)  # nearer ones are too far from these
+        if out.bulk:
+            if within:
+                out.clique(inner)
+            sure = np.searchsorted(d, eps - e - 1e-9, "right")
+            out.star(inner, outer, sure)
+            begin = np.maximum(begin, sure)
+        elif within:
+            self.blocks(inner, inner[:0], True, out)
+        some = np.flatnonzero(begin < len(inner))
+        some = some[np.argsort(begin[some], kind="stable")]
+        for j in range(0, len(some), LEAF):
+            part = some[j : j + LEAF]
+            for i in range(int(begin[part[0]]), len(inner), LEAF):
+                self.verify(inner[i : i + LEAF], outer[part], begin[part] - i, False, out)
+
+
+class Found:
+    """What a join has found: links by point (each counts the other's ``weight``), and edges that connect the same points.
+
+    ``bulk`` allows pairs to be counted without being named; otherwise ``named`` has each (a, b, jaccard).
+    """
 
-    def join(self, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if len(docs) <= LEAF:
-            return self.blocks(docs)
-        k = min(64, 2 + len(docs) // LEAF)
-        pivots = docs[(np.arange(k) * len(docs)) // k]
-        x = self.inter(docs, pivots)
-        d = 1 - x / (self.size[docs][:, None] + self.size[pivots][None, :] - x)
-        home = d.argmin(1)
-        inside = d <= d[np.arange(len(docs)), home][:, None] + 2 * (1 - self.t) + 1e-6
-        if inside.sum(0).max() > 0.8 * len(docs):
-            return self.blocks(docs)  # the cells overlap too much to divide anything
-        where, out = dict(zip(docs.tolist(), home.tolist())), []
-        for j in range(k):
-            for a, b, s in self.join(docs[inside[:, j]]):
-                # both homes' cells find a pair; the lower one reports it
-                own = np.array([min(where[p], where[q]) == j for p, q in zip(a.tolist(), b.tolist())], bool)
-                out.append((a[own], b[own], s[own]))
-        return out
+    def __init__(self, weight: np.ndarray, bulk: bool = True):
+        self.weight, self.bulk, self.cells = weight.astype(np.float64), bulk, 0
+        self.links = np.zeros(len(weight))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.named: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, j: np.ndarray) -> None:
+        if not self.bulk:
+            self.named.append((a, b, j))
+        else:
+            self.add(a, b)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.links += np.bincount(a, self.weight[b], len(self.links)) + np.bincount(b, self.weight[a], len(self.links))
+        self.edges.append((a, b))
+
+    def clique(self, docs: np.ndarray) -> None:
+        self.links[docs] += self.weight[docs].sum() - self.weight[docs]
+        self.edges.append((np.repeat(docs[:1], len(docs) - 1), docs[1:]))
+
+    def star(self, inner: np.ndarray, outer: np.ndarray, sure: np.ndarray) -> None:
+        """outer[k] is linked to inner[: sure[k]]."""
+        total = np.append(0, np.cumsum(self.weight[inner]))
+        self.links[outer] += total[sure]
+        by = np.bincount(sure, self.weight[outer], len(inner) + 1)
+        self.links[inner] += by[::-1].cumsum()[::-1][1:]
+        some = outer[sure > 0]
+        if len(some):
+            # without a clique (within False) inner's points are connected through one outer point
+            most = int(sure.max())
+            self.edges.append((np.repeat(inner[:1], len(some)), some))
+            self.edges.append((np.repeat(outer[sure.argmax()], most), inner[:most]))
+
+    def named_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([x[i] for x in self.named]) for i in range(3))
+
+    def roots(self, order: np.ndarray) -> np.ndarray:
+        """For each point the connected one of lowest ``order``."""
+        rank = np.empty(len(order), np.int64)
+        by = np.argsort(order, kind="stable")
+        rank[by] = np.arange(len(order))
+        root = np.arange(len(order))
+        a = rank[np.concatenate([x for x, _ in self.edges])] if self.edges else root[:0]
+        b = rank[np.concatenate([x for _, x in self.edges])] if self.edges else root[:0]
+        while True:
+            x, y = root[a], root[b]
+            if (x == y).all():
+                return by[root[rank]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
 
 
 def whole_regions(batches: Iterator[pa.RecordBatch], grams: int = 2_000_000) -> Iterator[pa.Table]:
-    """Runs of rows that hold whole regions, of about ``grams`` n-grams; rows come sorted by pivot."""
+    """Runs of rows that hold whole regions, of about ``grams`` n-grams; rows come sorted by pivot and part."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
     for batch in batches:
-        pivot = batch.column(0).to_numpy()
-        ends = np.append(np.flatnonzero(pivot[1:] != pivot[:-1]) + 1, len(pivot))
-        weight = np.cumsum(batch.column(2).to_numpy())
+        pivot, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ends = np.append(np.flatnonzero((pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])) + 1, len(pivot))
+        weight = np.append(0, np.cumsum(batch.column("size").to_numpy()))
         lo = 0
-        for i, e in enumerate(ends.tolist()):
-            if held and lo == 0 and i == 0 and held[-1].column(0)[-1].as_py() != pivot[0] and size >= grams:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            # the last region of a batch may go on in the next one
-            if i < len(ends) - 1 and size + weight[e - 1] - (weight[lo - 1] if lo else 0) >= grams:
+        if held and size >= grams and len(pivot) and (pivot[0], part[0]) != last:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        for e in ends[:-1].tolist():  # the last region of a batch may go on in the next one
+            if size + weight[e] - weight[lo] >= grams:
                 held.append(batch.slice(lo, e - lo))
                 yield pa.Table.from_batches(held)
                 held, size, lo = [], 0, e
         if lo < len(pivot):
             held.append(batch.slice(lo))
-            size += int(weight[-1] - (weight[lo - 1] if lo else 0))
+            size, last = size + int(weight[-1] - weight[lo]), (pivot[-1], part[-1])
     if held:
         yield pa.Table.from_batches(held)
 
 
-def join_regions(pivot: np.ndarray, size: np.ndarray, sets: list[np.ndarray], t: float, small: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of one region within the threshold. Regions of up to ``small`` documents are joined together,
-    by counting how often two of a region's documents meet at an n-gram; larger ones one by one."""
-    size = size.astype(np.int64)
-    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])) if len(pivot) else np.zeros(0, np.int64)
-    count = np.diff(np.append(begin, len(pivot)))
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+@dataclass
+class Rows:
+    """Points of whole regions, region by region."""
+
+    region: np.ndarray  # a number for each region or part of one, rising
+    pivot: np.ndarray
+    side: np.ndarray  # of a part between two blocks: 1 and 2; else 0
+    node: np.ndarray
+    size: np.ndarray
+    weight: np.ndarray
+    sets: list[np.ndarray]
+    pivots: list[np.ndarray]  # of all of a point's regions, rising
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Rows:
+        pivot, part, side, node, size, weight = (t.column(c).to_numpy() for c in ("pivot", "part", "side", "node", "size", "copies"))
+        new = (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
+        lists = t.column("pivots").combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        return cls(np.append(0, np.cumsum(new))[: len(pivot)], pivot, side, node, size.astype(np.int64), weight, [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()], [values[x:y] for x, y in zip(at[:-1], at[1:])])
+
+    def here(self, a: np.ndarray, b: np.ndarray, native: np.ndarray) -> np.ndarray:
+        """Whether pairs of rows of a region have no earlier region in common."""
+        ok = native[a] | native[b]
+        for i in np.flatnonzero(~ok).tolist():
+            x, y = (self.pivots[k][self.pivots[k] < self.pivot[k]] for k in (a[i], b[i]))
+            ok[i] = x[0] != y[0] and not len(np.intersect1d(x, y))
+        return ok
+
+
+def join_rows(rows: Rows, t: float, bulk: bool = True, small: int = 12) -> Found:
+    """What the regions of ``rows`` find. Regions of up to ``small`` points are joined together, by counting
+    how often two of a region's points meet at an n-gram; larger ones one by one."""
+    n = len(rows.node)
+    out = Found(rows.weight, bulk)
+    native = np.array([x[0] for x in rows.pivots], np.int64) == rows.pivot if n else np.zeros(0, bool)
+    begin = np.flatnonzero(np.append(True, rows.region[1:] != rows.region[:-1])) if n else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, n))
     for lo, k in zip(begin[count > small].tolist(), count[count > small].tolist()):
-        found += [(a + lo, b + lo, s) for a, b, s in Region(size[lo : lo + k], sets[lo : lo + k], t).join(np.arange(k))]
+        _join_region(rows, lo, lo + k, native, t, out)
     few = A.expand(begin[count <= small], count[count <= small])
     if len(few):
-        region = np.repeat(np.arange(len(begin)), count)[few]
-        lens = np.array([len(sets[i]) for i in few.tolist()])
-        doc, gram = np.repeat(few, lens), np.concatenate([sets[i] for i in few.tolist()])
+        region = rows.region[few]
+        lens = np.array([len(rows.sets[i]) for i in few.tolist()])
+        doc, gram = np.repeat(few, lens), np.concatenate([rows.sets[i] for i in few.tolist()])
         key = A.mix(gram ^ A.mix(np.repeat(region, lens).astype(np.uint64)))
         order = np.argsort(key, kind="stable")  # in a group, documents stay in order
-        key, doc, gram = key[order], doc[order], gram[order]
+        key, doc = key[order], doc[order]
         pairs, by = [], 1
         at = np.arange(len(key))
         while len(at):
             at = at[at + by < len(key)]
             at = at[key[at] == key[at + by]]
-            pairs.append(doc[at] * len(pivot) + doc[at + by])
+            pairs.append(doc[at] * n + doc[at + by])
             by += 1
         u, inter = np.unique(np.concatenate(pairs), return_counts=True)
-        a, b = u // len(pivot), u % len(pivot)
-        j = inter / (size[a] + size[b] - inter)
-        ok = j >= t - 1e-12
-        found.append((a[ok], b[ok], j[ok]))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
-
+        a, b = u // n, u % n
+        j = inter / (rows.size[a] + rows.size[b] - inter)
+        ok = (j >= t - 1e-12) & ((rows.side[a] != rows.side[b]) | (rows.side[a] == 0))
+        a, b, j = a[ok], b[ok], j[ok]
+        ok = rows.here(a, b, native)
+        out.pairs(a[ok], b[ok], j[ok])
+    return out
 
-def _points(df: DataFrame, text: str, key: str, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents, the points that stand for those with the same set, and near pairs of points.
 
-    A near pair (node_a, node_b, id_a, id_b, jaccard) has node_a < node_b and comes once for each region that has both.
-    """
-    docs = picked(df, id=key, text=text).where("id is not null and text is not null")
+def _join_region(rows: Rows, lo: int, hi: int, native: np.ndarray, t: float, out: Found) -> None:
+    region = Region(rows.size[lo:hi], rows.sets[lo:hi], t)
+    one, within = rows.side[lo:hi] < 2, rows.side[lo] == 0
+    own, foreign = np.flatnonzero(one & native[lo:hi]), np.flatnonzero(one & ~native[lo:hi])
+    second = np.flatnonzero(~one)
+    found = Found(rows.weight[lo:hi], out.bulk)
+    # a pair with a native of this region has no earlier one
+    if within:
+        region.divide(own, foreign, True, found)
+    else:
+        region.divide(own, second, False, found)
+        region.divide(foreign, second[native[lo:hi][second]], False, found)
+        second = second[~native[lo:hi][second]]
+    if len({int(rows.pivots[lo + i][0]) for i in (*foreign.tolist(), *second.tolist())}) > 1:
+        some = Found(rows.weight[lo:hi], False)
+        region.divide(foreign, second, bool(within), some)
+        a, b, j = some.named_pairs()
+        ok = rows.here(a + lo, b + lo, native)
+        found.pairs(a[ok], b[ok], j[ok])
+        out.cells += some.cells
+    out.cells += found.cells
+    out.links[lo:hi] += found.links
+    out.edges += [(a + lo, b + lo) for a, b in found.edges]
+    out.named += [(a + lo, b + lo, j) for a, b, j in found.named]
+
+
+def _points(df: DataFrame, text: str, key: str, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """All documents, and the points that stand for those with the same set."""
+    docs = picked(df, id=key, text=text)
     every = written(_documents(docs, n, t), "jaccard-documents")
-    points = every.groupBy(SAME).agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("copies"))
-    points = written(points.select(*SAME, "first.id", "first.node", "copies"), "jaccard-points")
-
-    single = every.where("sig is not null").join(points.select("node"), "node", "left_semi")
-    single = written(single.select("node", "id", "size", "grams", "sig"), "jaccard-sets")
-    by = Window.partitionBy("g")
-    met = single.select("node", F.explode("sig").alias("g")).select("node", F.min("node").over(by).alias("pivot"), F.count("*").over(by).alias("m"))
-    members = met.where("m > 1").select("pivot", "node").distinct()
-    id_type = every.schema["id"].dataType
-    out_schema = T.StructType([
-        T.StructField("node_a", T.LongType()), T.StructField("node_b", T.LongType()), T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("jaccard", T.DoubleType()),
-    ])
+    some = every.where("size > 0 and id is not null")
+    points = some.groupBy(SAME).agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("copies"))
+    return every, written(points.select(*SAME, "first.id", "first.node", "copies"), "jaccard-points")
+
+
+def _regions(every: DataFrame, points: DataFrame, run: Callable[[Rows], pa.RecordBatch], schema: str, buckets: int) -> DataFrame:
+    """What ``run`` makes of each region's points."""
+    single = every.where("sig is not null").join(points.select("node", "copies"), "node")
+    single = written(single.select("node", "size", "copies", "grams", "sig"), "jaccard-sets")
+    met = single.select("node", F.explode("sig").alias("g"))
+    first = met.groupBy("g").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("g", "pivot")
+    members = met.join(first, "g").groupBy("node").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"))
+    members = written(members, "jaccard-members").select("node", "pivots", F.explode("pivots").alias("pivot"))
+    large = written(members.groupBy("pivot").count().where(F.col("count") > BLOCK).select("pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
+    members = members.join(broadcast_if(large, large.count() * 32, BROADCAST), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # blocks i <= j of a region meet in part i * blocks + j
+    i = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
+    members = members.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("pivot", (F.least("i", "j") * F.col("blocks") + F.greatest("i", "j")).alias("part"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), "node", "pivots")
+    rows = members.join(single.drop("sig"), "node").select("pivot", "part", "side", "node", "size", "copies", "grams", "pivots")
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in whole_regions(batches):
-            ids, node = table.column("id").combine_chunks(), table.column("node").to_numpy()
-            a, b, s = join_regions(table.column("pivot").to_numpy(), table.column("size").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], t)
-            turned = node[a] > node[b]
-            a, b = np.where(turned, b, a), np.where(turned, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), pa.array(s, pa.float64())], names=out_schema.names)
-
-    rows = members.join(single.select("node", "id", "size", "grams"), "node").select("pivot", "id", "size", "grams", "node")
-    near = rows.repartition(n_buckets(docs), "pivot").sortWithinPartitions("pivot").mapInArrow(regions, out_schema)
-    return every, points, near
+            yield run(Rows.of(table))
 
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b")]
+    return rows.repartition(buckets, "pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(regions, schema)
 
 
 def jaccard_join(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a, doc_b, jaccard) that stand for all of ``all_pairs``, folded.
+    """Pairs (doc_a, doc_b, jaccard) of documents whose word n-gram sets have a Jaccard index of ``t`` or more, folded.
 
     Documents with the same set are one point of the metric space: the one with the lowest
     key stands for it, and the others are paired with that one, at 1.0. Of different sets, every
     pair within the threshold is there, as a pair of such documents; so all pairs follow, and
-    groups stay linear in size. doc_a < doc_b. Rows with a null key or without a word (null and
+    groups of copies stay linear in size. doc_a < doc_b. Rows with a null key or without a word (null and
     empty texts) take no part; a key that stands twice is never paired with itself. Whole
     texts count; other columns are not read.
     """
-    every, points, near = _points(df, text, key, n, t)
-    copies = every.select("id", *SAME).join(points.select(F.col("id").alias("doc_a"), *SAME), SAME)
+    every, points = _points(df, text, key, n, t)
+
+    def run(rows: Rows) -> pa.RecordBatch:
+        a, b, j = join_rows(rows, t, bulk=False).named_pairs()
+        return pa.RecordBatch.from_arrays([pa.array(rows.node[a]), pa.array(rows.node[b]), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+
+    near = _regions(every, points, run, "a long, b long, jaccard double", n_buckets(picked(df, text=text)))
+    for side in ("a", "b"):
+        near = near.join(points.select(F.col("node").alias(side), F.col("id").alias(f"id_{side}")), side)
+    near = near.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "jaccard")
+    copies = every.where("id is not null").select("id", *SAME).join(points.select(F.col("id").alias("doc_a"), *SAME), SAME)
     copies = copies.where("id > doc_a").select("doc_a", F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = near.where("id_a <> id_b").select(*_ordered("id_a", "id_b"), "jaccard")
-    # a pair meets in every region that has both; keys that stand twice may give it with two values
+    # keys that stand twice may give a pair with two values
     return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def all_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
-    """All pairs (doc_a, doc_b, jaccard) of documents whose word n-gram sets have a Jaccard index of ``t`` or more.
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
+    """A row (key, class_id, links) for each document: the join of ``jaccard_join`` counted, not listed.
 
-    Each pair comes once, doc_a < doc_b, copies with copies and with all near documents too; so a
-    group of k copies gives k (k - 1) / 2 rows. Which rows take part is as in ``jaccard_join``.
-    Groups travel as arrays of up to MEMBERS keys; pairs are made of two arrays at a time, after the last shuffle.
+    ``links`` is the number of other documents whose word n-gram sets have a Jaccard index of ``t`` or
+    more with the document's, copies and near documents, each counted once. ``class_id`` is the lowest key among all documents that
+    links connect with it, directly or through others; without a link, its own key. Rows with a null
+    key or without a word (null and empty texts) take no part: no links, their own key. Rows that share a key
+    count one by one. Whole texts; other columns are not read. As rows, groups of any size are linear.
     """
-    every, points, near = _points(df, text, key, n, t)
-    many = points.where("copies > 1").select(F.col("node").alias("point"), *SAME)
-    members = every.select("id", *SAME).join(many, SAME).select("point", "id").distinct()
-    group = Window.partitionBy("point")
-    members = members.withColumn("k", F.row_number().over(group.orderBy("id"))).withColumn("last", F.expr(f"int((count(*) over (partition by point) - 1) div {MEMBERS})"))
-    blocks = members.groupBy("point", "last", F.expr(f"int((k - 1) div {MEMBERS})").alias("block")).agg(F.collect_list("id").alias("ids"))
-    blocks = written(blocks, "jaccard-groups")
-    parts = n_buckets(picked(df, id=key, text=text))
-
-    def pairs(arrays: DataFrame) -> DataFrame:
-        one = arrays.select(F.explode("a").alias("x"), "b", "jaccard").select("x", F.explode("b").alias("y"), "jaccard")
-        return one.select(*_ordered("x", "y"), "jaccard")
-
-    # copies: every two blocks of a group, a block with itself too
-    left = blocks.select("point", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("ids").alias("a"))
-    right = blocks.select("point", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("b"))
-    both = left.join(right, ["point", "i", "j"])
-    copies = pairs(both.where("i < j").select("a", "b", F.lit(1.0).alias("jaccard")))
-    within = both.where("i = j").select(F.posexplode("a").alias("k", "x"), "b").select("x", F.explode(F.expr("slice(b, k + 2, size(b))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    copies = copies.unionByName(within.select(*_ordered("x", "y"), "jaccard"))
-
-    # near pairs: all members of the one point with all of the other
-    near = near.groupBy("node_a", "node_b", "id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
-    for side in ("a", "b"):
-        own = blocks.select(F.col("point").alias(f"node_{side}"), F.col("ids").alias(side), F.col("block").alias(f"block_{side}"))
-        near = near.join(own, f"node_{side}", "left").withColumn(side, F.coalesce(side, F.array(f"id_{side}")))
-    near = near.select("node_a", "node_b", "block_a", "block_b", "a", "b", "jaccard").repartition(parts, "node_a", "node_b", "block_a", "block_b")
-    out = pairs(near).where("doc_a <> doc_b").unionByName(copies)
-    if every.groupBy("id").count().where("count > 1").limit(1).count():  # a pair may then come more than once
-        out = out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    return out
+    every, points = _points(df, text, key, n, t)
+
+    def run(rows: Rows) -> pa.RecordBatch:
+        found = join_rows(rows, t)
+        some = np.flatnonzero(found.links)
+        root = rows.node[found.roots(rows.node)]
+        return pa.RecordBatch.from_arrays([pa.array(rows.node[some]), pa.array(found.links[some].astype(np.int64)), pa.array(root[some])], names=["node", "links", "root"])
+
+    near = written(_regions(every, points, run, "node long, links long, root long", n_buckets(picked(df, text=text))), "jaccard-links")
+    links = near.groupBy("node").agg(F.sum("links").alias("near"))
+    root = components(near.select(F.col("node").alias("doc_a"), F.col("root").alias("doc_b")))
+    named = points.select("id", "node", *SAME, "copies").join(links, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = written(named, "jaccard-classes")
+    lowest = named.where("near is not null").groupBy("root").agg(F.min("id").alias("lowest"))
+    named = named.join(lowest, "root", "left").select(*SAME, F.coalesce("lowest", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    one = every.where("size > 0 and id is not null").join(named, SAME).select("id", "class_id", "links")
+    rest = every.where("size = 0 or id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return one.unionByName(rest).withColumnRenamed("id", key)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -463,12 +619,12 @@ def components(pairs: DataFrame) -> DataFrame:
     e = written(e, "stars")
     mark = None
     while True:
+        # lowest neighbours are aggregated and joined, as a window would hold a whole star in one task
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        w = Window.partitionBy("u")
-        small = large.select("u", "v", F.min("v").over(w).alias("m"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct()
         e = written(small, "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -481,7 +637,6 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", n: int =
 
     Rows with a null key or without a word stay; rows that share a key stay or go together.
     """
-    gone = components(jaccard_join(df, text, key, n, t))
     node = fresh(df, "node")[0]
-    gone = gone.select(F.col("node").alias(node))
+    gone = classes(df, text, key, n, t).where(F.col("class_id") < F.col(f"`{key}`")).select(F.col(f"`{key}`").alias(node))
     return df.join(gone, F.col(f"`{key}`") == F.col(node), "left_anti")
