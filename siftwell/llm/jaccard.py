@@ -13,7 +13,7 @@
 3. *Recursion.* Inside a region, points within a radius of their nearest pivot make its Voronoi
    cell; the triangle inequality gives the window (the cell's own radius + 1 - t) in which points
    of later cells are replicated to it, and each cell is joined the same way with a smaller
-   radius. Points near no pivot are joined around pivots of their own. In the smallest cells the
+   radius. Points near no pivot are joined around pivots of their own, as long as these gather any. In the smallest cells the
    sums of two distances to the pivot settle most pairs unseen: up to 1 - t they are links. Only
    the rest are verified, by set intersections as matrix products.
 
@@ -240,7 +240,7 @@ class Region:
         use = np.intersect1d(ca, cb)
         ca, ra = self._only(ca, ra, use)
         cb, rb = self._only(cb, rb, use)
-        step = max(1, 16_000_000 // max(1, len(a) + len(b)))
+        step = max(1, min(len(use), 16_000_000 // max(1, len(a) + len(b))))
         oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
         ca, ra, cb, rb = ca[oa], ra[oa], cb[ob], rb[ob]
         for lo in range(0, len(use), step):
@@ -261,8 +261,7 @@ class Region:
     @staticmethod
     def _dense(c: np.ndarray, r: np.ndarray, rows: int, lo: int, step: int) -> np.ndarray:
         i, j = np.searchsorted(c, (lo, lo + step))
-        m = np.zeros((rows, min(step, int(c.max()) + 1 - lo if len(c) else 1) if step > 0 else 1), np.float32)
-        m = np.zeros((rows, step), np.float32) if m.shape[1] != step else m
+        m = np.zeros((rows, step), np.float32)
         m[r[i:j], c[i:j] - lo] = 1
         return m
 
@@ -321,12 +320,14 @@ class Region:
                     rest = np.concatenate([np.flatnonzero(home > j), rest])
                 outer = rest[d[rest, j] <= near[inner].max() + eps + 1e-9]
                 out.cells += 1
-                if last:
+                if last or len(inner) == 1:
                     inner = inner[np.argsort(near[inner], kind="stable")]
                     self.cell(every[inner], near[inner], every[outer], d[outer, j], within, out)
                 else:
                     self.divide(every[inner], every[outer], within, out, level + 1)
             docs = docs[far]
+            if (~far).sum() <= k + k // 4:  # pivots have hardly any points near them
+                return self.blocks(docs, others, within, out)
 
     def cell(self, inner: np.ndarray, d: np.ndarray, outer: np.ndarray, e: np.ndarray, within: bool, out: Found) -> None:
         """Links of a cell of half the reach. ``d``, ``e``: distances to the pivot, d rising."""
