@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 from . import arrays as A
 from .common import default_tokenizer, kept, trim
 
-#: Determinised states, and cached pieces, kept by a worker before it starts afresh.
-MAX_STATES = 180_000
-MAX_PIECES = 100_000
+#: Determinised states, and cached pieces, kept by a worker before it lets the deeper states, and the older pieces, go.
+MAX_STATES = 80_000
+MAX_PIECES = 1_000_000
+#: Known pairs of tokens kept by a worker.
+MAX_FITS = 60_000
 #: Bytes of text that are split and told apart at once.
 SLICE = 1_000_000
 
@@ -104,7 +106,7 @@ class Merges:
         k = a << 32 | b
         known = self._fits.get(k)
         if known is None:
-            if len(self._fits) > 150_000:
+            if len(self._fits) > MAX_FITS:
                 self._fits.clear()
             known = self._fits[k] = self._fits_now(a, b)
         return known
@@ -142,6 +144,34 @@ class Transducer:
         self.shared: dict[tuple, tuple] = {}  # equal parts of states are one object
         self.start = self._intern((-1, ((), 0), ()))
 
+    def _shrink(self) -> None:
+        """Keep the states nearest to the start, a third of what is allowed: most texts pass through these."""
+        state, arcs = self.state, self.arcs
+        out: dict[int, list[int]] = {}
+        for k in arcs:
+            out.setdefault(k >> 8, []).append(k)
+        new, order = {self.start: 0}, [self.start]
+        for n in order:  # grows while it is read
+            for k in out.get(n, ()):
+                to = arcs[k] if arcs[k].__class__ is int else arcs[k][0]
+                if to not in new and len(order) < self.max_states // 3:
+                    new[to] = len(order)
+                    order.append(to)
+        self._reset()
+        for n in order:
+            last, done, opened = state[n]
+            self._intern((last, self._pair(done), tuple(map(self._pair, opened))))
+        for k, arc in arcs.items():
+            to = arc if arc.__class__ is int else arc[0]
+            if k >> 8 in new and to in new:
+                self.arcs[new[k >> 8] << 8 | k & 255] = new[to] if arc.__class__ is int else (new[to], arc[1])
+
+    def _pair(self, x: tuple) -> tuple:
+        """An equal (tokens, node) that states share."""
+        one = self.shared.setdefault
+        x = (one(x[0], x[0]), x[1])
+        return one(x, x)
+
     def _intern(self, s: tuple) -> int:
         n = self.number.get(s)
         if n is None:
@@ -181,19 +211,19 @@ class Transducer:
         if rest and () not in [r for r, _ in new_open]:
             last = -2
         one = self.shared.setdefault
-        rest = one(rest, rest)
-        new_open = [one(x, x) for x in ((one(r, r), node) for r, node in sorted(new_open))]
-        done = (rest, 0)
-        return self._intern((last, one(done, done), tuple(new_open))), one(out, out)
+        return self._intern((last, self._pair((rest, 0)), tuple(map(self._pair, sorted(new_open))))), one(out, out)
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.state) > self.max_states:
-            self._reset()
         n, out, arcs = self.start, [], self.arcs
-        for b in piece:
+        for b in piece[:-1]:
             k = n << 8 | b
             arc = arcs.get(k)
             if arc is None:
+                if len(self.state) > self.max_states:  # also within a piece
+                    here = self.state[n]
+                    self._shrink()
+                    n, arcs = self._intern(here), self.arcs
+                    k = n << 8 | b
                 arc = self._step(n, b)
                 arcs[k] = arc = arc if arc[1] else arc[0]
             if arc.__class__ is int:  # nothing is emitted
@@ -201,9 +231,24 @@ class Transducer:
             else:
                 n, emitted = arc
                 out += emitted
-        out += self.state[n][1][0]
+        if piece:
+            out += self._end(n, piece[-1])
         return out
 
+    def _end(self, n: int, byte: int) -> tuple[int, ...]:
+        """What is emitted with the last byte: the guess that ends there, without a state of its own."""
+        last, done, opened = self.state[n]
+        m = self.m
+        for rest, node in (done, *opened):
+            child = m.next[node].get(byte)
+            if child is not None:
+                tok = m.at[child]
+                if tok >= 0:
+                    before = rest[-1] if rest else last
+                    if before < 0 or m.fits(before, tok):
+                        return (*rest, tok)
+        raise AssertionError("every byte is a token")
+
 
 def piece_bounds(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where pieces begin: the split of texts before merging, for whole batches.
@@ -240,8 +285,81 @@ def piece_bounds(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+class Pieces:
+    """Known pieces and their ids in flat arrays, found by hash and compared byte by byte."""
+
+    def __init__(self, dtype: type, most: int):
+        self.dtype, self.most = dtype, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n = 0
+        self.used = np.zeros(0, bool)
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.dtype)
+        self.text_at, self.ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def find(self, h: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of each span of ``raw`` with the hash ``h``, -1 where it isn't known."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        slot = np.where(self.keys[at] == h, self.slot[at], -1)
+        hit = np.flatnonzero(slot >= 0)
+        begin = self.text_at[slot[hit]]
+        hit, begin = (x[self.text_at[slot[hit] + 1] - begin == size[hit]] for x in (hit, begin))
+        out = np.full(len(h), -1)
+        hit = hit[equal(raw, start[hit], self.text, begin, size[hit])]
+        out[hit] = slot[hit]
+        self.used[out[hit]] = True
+        return out
+
+    def add(self, h: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray, ids: list) -> None:
+        """Remember new pieces; a hash that is known already keeps its piece."""
+        if self.n + len(h) > self.most:
+            self._shrink()
+        self.text = np.concatenate([self.text, raw[A.expand(start, size)]])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.dtype, int(lens.sum()))])
+        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(size)])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(lens)])
+        self.used = np.append(self.used, np.zeros(len(h), bool))
+        self._index(h, np.arange(self.n, self.n + len(h)))
+        self.n += len(h)
+
+    def _index(self, h: np.ndarray, slot: np.ndarray) -> None:
+        keys, slot = np.concatenate([self.keys, h]), np.concatenate([self.slot, slot])
+        order = np.argsort(keys, kind="stable")  # merges two sorted runs
+        keys, slot = keys[order], slot[order]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        self.keys, self.slot = keys[new], slot[new]
+
+    def _shrink(self) -> None:
+        """Only pieces that were asked for again stay, if these are less than half of what is allowed."""
+        keep = self.used[self.slot]
+        if keep.sum() > self.most // 2:
+            keep[:] = False
+        keys, old = self.keys[keep], self.slot[keep]
+        size, lens = np.diff(self.text_at)[old], np.diff(self.ids_at)[old]
+        text, ids = self.text[A.expand(self.text_at[old], size)], self.ids[A.expand(self.ids_at[old], lens)]
+        self.clear()
+        self.text, self.ids, self.n, self.used = text, ids, len(old), np.zeros(len(old), bool)
+        self.text_at, self.ids_at = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(lens))
+        self.keys, self.slot = keys, np.arange(len(old))
+
+
+def equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] and b[bt : bt + size] are the same, span by span."""
+    differ = a[A.expand(at, size)] != b[A.expand(bt, size)]
+    if not differ.any():
+        return np.ones(len(size), bool)
+    total = np.append(0, np.cumsum(differ))
+    end = np.cumsum(size)
+    return total[end] == total[end - size]
+
+
 class Encoder:
-    """Batch encoding: pieces of a batch are told apart by Arrow, each different one is merged once.
+    """Batch encoding: pieces of a slice are told apart by hash and bytes, each different one is merged once.
 
     ``by`` says what merges a piece: "transducer", or "tiktoken" for that library's code on the
     same vocabulary, which operators use that only need ids.
@@ -252,33 +370,22 @@ class Encoder:
         if by == "transducer":
             self.merges = Merges(tokens)
             self.fst = Transducer(self.merges)
-            self.merge = lambda w: tuple(self.fst.encode(w.encode()))
+            self.merge = self.fst.encode
         elif by == "tiktoken":
             import tiktoken
 
             # a piece is one match of the pattern already
             one = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
-            self.merge = one.encode_ordinary
+            self.merge = lambda piece: one.encode_ordinary(piece.decode())
         else:
             raise ValueError(f"unknown encoder {by!r}")
         self.tokens = tokens
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
         self.dtype = np.uint16 if len(tokens) < 65_000 else np.int32
+        self.known = Pieces(self.dtype, MAX_PIECES)
 
-    def pieces(self, distinct: list[str]) -> list:
-        if len(self.cache) > MAX_PIECES:  # what isn't used again until the next time goes
-            self.older, self.cache = self.cache, {}
-        cache, older, out, merge = self.cache, self.older, [], self.merge
-        gc.disable()  # nothing here has cycles, and a collection visits every cached piece
-        for w in distinct:
-            ids = cache.get(w)
-            if ids is None:
-                ids = older.get(w)
-                if ids is None:
-                    ids = merge(w)
-                cache[w] = ids
-            out.append(ids)
+    def merged(self, data: bytes, start: np.ndarray, size: np.ndarray) -> list:
+        gc.disable()  # nothing here has cycles, and a collection visits every state
+        out = [self.merge(data[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())]
         gc.enable()
         return out
 
@@ -289,20 +396,37 @@ class Encoder:
             raw, off = A.string_parts(part)
             cps, char_off, at = A.codepoints(raw, off)
             begin = piece_bounds(cps, char_off)
-            bounds = np.append(at[begin], len(raw))
-            d = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
-            toks = self.pieces(d.dictionary.to_pylist())
-            size = np.fromiter(map(len, toks), np.int64, len(toks))
-            flat = np.fromiter(chain.from_iterable(toks), self.dtype, int(size.sum()))
-            start = np.cumsum(size) - size
-            codes = d.indices.to_numpy()
-            lens = size[codes]
-            ids.append(flat[A.expand(start[codes], lens)])
+            start = at[begin].astype(np.int64)
+            size = np.diff(np.append(start, len(raw)))
+            piece, lens = self.ids_of(raw, start, size)
+            ids.append(piece)
             tok_end = np.concatenate(([0], np.cumsum(lens)))
             ends.append(tok_end[np.searchsorted(begin, char_off[1:])] + base)
             base += int(tok_end[-1])
         return (np.concatenate(ids) if ids else np.zeros(0, self.dtype)), np.concatenate(ends)
 
+    def ids_of(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        if not len(start):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        u, first, code = np.unique(A.SpanHash(raw)(start, start + size), return_index=True, return_inverse=True)
+        if not (size == size[first][code]).all() or not equal(raw, start, raw, start[first][code], size).all():  # two pieces have one hash
+            got = self.merged(raw.tobytes(), start, size)
+            return np.fromiter(chain.from_iterable(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got))
+        start, size = start[first], size[first]
+        slot = self.known.find(u, raw, start, size)
+        new = np.flatnonzero(slot < 0)
+        k = self.known
+        known_ids, at, lens = k.ids, k.ids_at[slot], np.diff(k.ids_at)[slot] if k.n else np.zeros(len(u), np.int64)
+        if len(new):
+            got = self.merged(raw.tobytes(), start[new], size[new])
+            lens[new] = np.fromiter(map(len, got), np.int64, len(got))
+            at[new] = len(known_ids) + np.cumsum(lens[new]) - lens[new]
+            known_ids = np.concatenate([known_ids, np.fromiter(chain.from_iterable(got), self.dtype, int(lens[new].sum()))])
+            k.add(u[new], raw, start[new], size[new], got)
+        lens = lens[code]
+        return known_ids[A.expand(at[code], lens)], lens
+
 
 #: UTF-8 automaton. States: 0 between characters; 1-3 that many continuation bytes to come; 4-7 the
 #: first continuation byte is restricted (after E0, ED, F0, F4); 8 malformed.

@@ -50,6 +50,33 @@ def test_small_memory(other):
         assert small.encode(w.encode()) == other.encode_ordinary(w)
 
 
+def test_long_piece_in_bounded_memory(other):
+    """One unbroken piece may be as long as it will: states stay few, and what is emitted is the same."""
+    small = bpe.Transducer(bpe.encoder().merges, max_states=500)
+    r = np.random.default_rng(2)
+    word = "".join(chr(97 + k) for k in r.integers(0, 26, 60_000))
+    assert small.encode(word.encode()) == other.encode_ordinary(word)
+    assert len(small.state) <= 501
+
+
+def test_pieces_by_hash(monkeypatch):
+    """Pieces with one hash are told apart by their bytes, and old ones make room."""
+    enc = bpe.Encoder(by="tiktoken")
+    r = np.random.default_rng(3)
+    texts = [" ".join("".join(chr(97 + k) for k in r.integers(0, 26, r.integers(1, 9))) for _ in range(30)) for _ in range(20)] + ["the same text"] * 3
+    col = A.as_strings(pa.array(texts))
+    want = enc.encode(col)
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    enc.known = bpe.Pieces(enc.dtype, 40)
+    assert all((x == y).all() for x, y in zip(enc.encode(col), want)) and 0 < enc.known.n <= 100
+    monkeypatch.setattr(A.SpanHash, "__call__", lambda self, a, b: (b - a).astype(np.uint64) % np.uint64(3))
+    one = bpe.Encoder(by="tiktoken")
+    for t in texts:  # one by one, so that pieces of different texts meet in the table only
+        ids, _ = one.encode(A.as_strings(pa.array([t])))
+        assert ids.tolist() == enc.encode(A.as_strings(pa.array([t])))[0].tolist()
+    assert all((x == y).all() for x, y in zip(one.encode(col), want))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40), st.lists(st.integers(0, 40), max_size=6))
 def test_stream_of_bytes(data, at):
