@@ -2,7 +2,7 @@
 
 Sparse word n-grams (1 to 3) feed a multinomial logistic regression over licence families and
 "none". It is trained here, on the templates below with random damage and on paragraphs of the
-corpus that name none of a licence's marks. Temperature scaling on held-out
+corpus that have little of any template. Temperature scaling on held-out
 paragraphs calibrates the probabilities; what is likely a licence but of no family for sure is
 "unknown". A family stands only if the paragraph also covers one of its templates.
 """
@@ -70,6 +70,19 @@ TEMPLATES: dict[str, list[str]] = {
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+#: The same licences by their names alone.
+NAMES: dict[str, list[str]] = {
+    "apache": ["Apache-2.0", "Apache License 2.0"],
+    "mit": ["MIT License"],
+    "gpl": ["GPL-3.0", "GPLv3", "GNU GPL v3", "GNU General Public License"],
+    "lgpl": ["LGPL-2.1", "GNU Lesser General Public License"],
+    "bsd": ["BSD-3-Clause", "BSD License"],
+    "mpl": ["MPL-2.0", "Mozilla Public License 2.0"],
+    "cc-by": ["CC BY 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0"],
+    "cc-by-nc": ["CC BY-NC 4.0"],
+    "cc0": ["CC0 1.0"],
+}
 #: Licence sentences of no family above, for the unknown class.
 UNKNOWN = [
     "Licensed under the terms of the license agreement that comes with this product.",
@@ -77,6 +90,7 @@ UNKNOWN = [
     "See the license for the specific language governing permissions.",
     "Licensed under the Example Community License, version 1.",
     "Use is subject to license terms.",
+    "SPDX-License-Identifier: LicenseRef-Example",
     "You may copy this text under the conditions of the publisher's licence.",
 ]
 FAMILIES = ["none", *TEMPLATES, "unknown"]
@@ -85,6 +99,8 @@ SAMPLE = 4000
 COPIES = 40
 #: A family needs this probability, and this share of a template's n-grams.
 MIN_PROBABILITY, MIN_COVER = 0.5, 0.6
+#: A sampled paragraph with this share of a template's n-grams is no example of "none".
+MAX_SHARED = 0.25
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -102,7 +118,8 @@ class Model:
     weights: np.ndarray  # features x families
     bias: np.ndarray
     temperature: float
-    covers: list[tuple[int, set[int]]]  # family, features of a template
+    covers: list[tuple[int, set[int]]]  # family, features of a template, the sentences first and then the names
+    sentences: int  # how many of these are sentences
     marks: set[str]  # a paragraph without one of these words can only be "none"
 
     def probabilities(self, paragraphs: list[str]) -> tuple[np.ndarray, list[set[int]]]:
@@ -133,8 +150,9 @@ class Model:
     def find(self, text: str) -> list[tuple[int, str, float, float]]:
         """(line number, family, probability, cover) of licences in lines, and in runs of lines without a blank one.
 
-        A run counts, at its first line, for a family that none of its lines gives, or as unknown where
-        none gives a licence. Lines that are unknown by themselves and mostly in a template of the run's family are part of it.
+        A run counts, at its first line, for a family that none of its lines gives (or only by its name, where the run has
+        a sentence of it), or as unknown where none gives a licence. Lines that are mostly in a template of
+        the run's family and give no other one are part of it.
         """
         lines = text.split("\n")
         marked = [not self.marks.isdisjoint(words(x)) for x in lines]
@@ -148,15 +166,24 @@ class Model:
         out = []
         for (lo, hi), (family, p, cover) in self._hits(runs):
             have = {own[i][1] for i in range(lo, hi) if i in own}
-            if family in have or (family == "unknown" and have):
+            if family == "unknown":
+                if not have:
+                    out.append((lo, family, p, cover))
+                continue
+            whole = {i for i in range(lo, hi) if i in own and own[i][1] == family and self._sentence(lines[i], family)}
+            if whole or (family in have and not self._sentence("\n".join(lines[lo:hi]), family)):
                 continue
-            if family != "unknown":
-                for i in range(lo, hi):
-                    if i in own and own[i][1] == "unknown" and self._part(lines[i], family):
-                        del own[i]
+            for i in range(lo, hi):
+                if i in own and own[i][1] in ("unknown", family) and self._part(lines[i], family):
+                    del own[i]
             out.append((lo, family, p, cover))
         return sorted([*own.values(), *out])
 
+    def _sentence(self, text: str, family: str) -> bool:
+        """Whether a text has a whole sentence of the family, not only its name."""
+        feats = {self.code[g] for g in ngrams(words(text)) if g in self.code}
+        return any(len(c & feats) >= MIN_COVER * len(c) for fam, c in self.covers[: self.sentences] if FAMILIES[fam] == family)
+
     def _hits(self, paragraphs: list) -> list:
         """(key, (family, probability, cover)) of the (key, paragraph) that give a licence."""
         return [(k, got) for (k, _), got in zip(paragraphs, self.classify([p for _, p in paragraphs])) if got[0] != "none"]
@@ -184,22 +211,39 @@ def _damaged(r: random.Random, text: str, filler: list[str]) -> str:
     return " ".join(r.choices(filler, k=r.choice([0, 0, 0, 3, 12])) + w + r.choices(filler, k=r.choice([0, 0, 0, 3, 12])))
 
 
+def _tells(copy: str, template: str, family: str) -> bool:
+    """Whether a damaged template still says which family it is of: half of it, and one of the words that only that family has."""
+    have, given = ngrams(words(copy)), ngrams(words(template))
+    others = {w for f, ts in [*TEMPLATES.items(), *NAMES.items(), ("unknown", UNKNOWN)] if f != family for t in ts for w in words(t)}
+    own = set(words(template)) - others
+    return len(have & given) >= len(given) / 2 and (not own or bool(own & set(words(copy))))
+
+
 def fit(negatives: list[str], seed: int = 5, rounds: int = 400) -> Model:
     r = random.Random(seed)
-    filler = [w for p in negatives[:500] for w in p.split()[:20]] or ["lorem"]
+    filler = [w for p in negatives for w in p.split()] or ["lorem"]
     rows: list[tuple[str, int]] = [(p, 0) for p in negatives]
     for family, texts in [*TEMPLATES.items(), ("unknown", UNKNOWN)]:
         for t in texts:
-            rows += [(t if i < 3 else _damaged(r, t, filler), FAMILIES.index(family)) for i in range(COPIES)]
+            copies = [t if i < 3 else _damaged(r, t, filler) for i in range(COPIES)]
+            rows += [(c, FAMILIES.index(family)) for c in copies if _tells(c, t, family)]
+    for family, texts in NAMES.items():
+        rows += [(" ".join([*r.choices(filler, k=r.choice([0, 0, 3, 12])), t, *r.choices(filler, k=r.choice([0, 0, 3, 12]))]), FAMILIES.index(family)) for t in texts for _ in range(COPIES)]
     # licence words in ordinary sentences are no licence
-    vocabulary = sorted({w for ts in [*TEMPLATES.values(), UNKNOWN] for t in ts for w in words(t)})
-    rows += [(" ".join(r.choices(filler, k=15) + r.choices(vocabulary, k=r.choice([1, 1, 2]))), 0) for _ in range(400)]
+    vocabulary = sorted({w for ts in [*TEMPLATES.values(), *NAMES.values(), UNKNOWN] for t in ts for w in words(t)})
+    bare = [w for w in vocabulary if not any(w in words(t) and len(words(t)) == 1 for ts in NAMES.values() for t in ts)]
+    joining = [w for w in bare if sum(w in {x for t in ts for x in words(t)} for ts in [*TEMPLATES.values(), UNKNOWN]) > 2 and not w.startswith("licen")]
+    mixed = filler + joining * (len(filler) // (len(joining) or 1))
+    two = sorted({g for ts in [*TEMPLATES.values(), UNKNOWN] for t in ts for g in ngrams(words(t)) if len(g) == 2 and set(g) <= set(bare) and set(g) & set(joining)})
+    for w in [*[(w,) for w in bare * 12], *two * 4]:
+        plain = r.choices(r.choice([mixed, mixed, joining or filler]), k=r.choice([2, 8, 15, 30]))
+        rows.append((" ".join([*plain, *w, *r.choices(bare, k=r.choice([0, 0, 1]))]), 0))
     code: dict[tuple[str, ...], int] = {}
-    for ts in [*TEMPLATES.values(), UNKNOWN]:
+    for ts in [*TEMPLATES.values(), *NAMES.values(), UNKNOWN]:
         for t in ts:
             for g in ngrams(words(t)):
                 code.setdefault(g, len(code))
-    m = Model(code, np.zeros((len(code), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, [], set())
+    m = Model(code, np.zeros((len(code), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, [], 0, set())
     r.shuffle(rows)
     y = np.array([k for _, k in rows])
     x = np.zeros((len(rows), len(code)), np.float32)
@@ -219,7 +263,8 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 400) -> Model:
     z, k = x[held] @ w + b, y[held]
     losses = {t: -np.log(_softmax(z / t)[np.arange(len(k)), k] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
     m.temperature = min(losses, key=losses.get)
-    m.covers = [(FAMILIES.index(f), {code[g] for g in ngrams(words(t))}) for f, ts in TEMPLATES.items() for t in ts]
+    m.covers = [(FAMILIES.index(f), {code[g] for g in ngrams(words(t))}) for f, ts in [*TEMPLATES.items(), *NAMES.items()] for t in ts]
+    m.sentences = sum(map(len, TEMPLATES.values()))
     m.marks = _marks(m, negatives)
     return m
 
@@ -252,15 +297,17 @@ def _marks(m: Model, negatives: list[str]) -> set[str]:
 
 
 def sample_paragraphs(docs: DataFrame, n: int = SAMPLE) -> list[str]:
-    """About ``n`` paragraphs without a licence's marks: one of each document, by the key's hash, at a rate from the count."""
+    """About ``n`` paragraphs: one of each document, by the key's hash, at a rate from the count. Those that have much of a
+    template are no example of "none"; ordinary ones with a licence's words are."""
     total = docs.count()
     if not total:
         return []
     u = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) >= 8) & ~F.lower(x).rlike("licen[sc]|copyright|rights|permission|redistribut|proprietary|cc0|spdx|warrant|creative"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 8)
     some = docs.where(u < min(1.0, n / total)).select("id", F.get(lines, F.pmod(F.xxhash64("id"), F.greatest(F.size(lines), F.lit(1))).cast("int")).alias("p"))
     got = [(r.p, str(r.id)) for r in some.where("p is not null").collect()]
-    return [p for p, _ in sorted(got, key=lambda x: (x[1], x[0]))]
+    known = [ngrams(words(t)) for ts in [*TEMPLATES.values(), *NAMES.values(), UNKNOWN] for t in ts]
+    return [p for p, _ in sorted(got, key=lambda x: (x[1], x[0])) for grams in [ngrams(words(p))] if not any(len(k & grams) >= MAX_SHARED * len(k) for k in known)]
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None) -> DataFrame:
