@@ -26,8 +26,8 @@ from .common import default_tokenizer, n_buckets, picked, written
 
 #: Counts up to K are discounted.
 K = 5
-#: Trigrams, and bigrams, seen less often are left to the backoff.
-MIN_TRIGRAM, MIN_BIGRAM = 2, 1
+#: Trigrams, and bigrams, seen less often would be left to the backoff; 1 leaves none out.
+MIN_TRIGRAM, MIN_BIGRAM = 1, 1
 CHUNK_TOKENS = 3_000_000
 
 
@@ -83,18 +83,26 @@ class Coding:
 def discounts(n: list[int]) -> np.ndarray:
     """Good-Turing factors by count, 1 above K. n[r]: how many n-grams are seen r times, to K + 1.
 
-    Where counts of counts are too few to give factors between 0 and 1, absolute discounting
-    by n1 / (n1 + 2 n2), or by one half, stands in for the whole order.
+    Factors must lie between 0 and 1 and leave what is seen more often the larger count: where copied
+    documents swell some n[r], the plain estimate turns that around. Then a line through log n[r] by
+    log r smooths the counts of counts. If that fails too, absolute discounting by
+    n1 / (n1 + 2 n2), or by one half, stands in for the whole order.
     """
+    r = np.arange(1, K + 2)
+    seen = np.array(n[1 : K + 2], np.float64)
+    tries = [seen] if (seen > 0).all() else []
+    if (seen > 0).sum() > 1:
+        slope, at = np.polyfit(np.log(r[seen > 0]), np.log(seen[seen > 0]), 1)
+        tries.append(np.exp(at + slope * np.log(r)))
     d = np.ones(K + 2)
-    if all(n[r] > 0 for r in range(1, K + 2)):
-        a = (K + 1) * n[K + 1] / n[1]
+    for m in tries:
+        a = (K + 1) * m[K] / m[0]
         if a < 1:
-            for r in range(1, K + 1):
-                d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a)
-    if not ((d[1 : K + 1] > 0) & (d[1 : K + 1] < 1)).all():
-        by = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d[1 : K + 1] = 1 - by / np.arange(1, K + 1)
+            d[1 : K + 1] = (r[1:] * m[1:] / (r[:-1] * m[:-1]) - a) / (1 - a)
+            if ((d[1 : K + 1] > 0) & (d[1 : K + 1] < 1)).all() and (np.diff(d[1:] * r) > 0).all():
+                return d
+    by = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    d[1 : K + 1] = 1 - by / r[:-1]
     return d
 
 

@@ -114,3 +114,14 @@ def test_edge_cases(spark):
     assert len(got) == 6 and got[0] == (1, None, None) and got[1][1] == 0 and got[1][2] < 0
     assert got[2] == got[3]
     assert katz.lm_score(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_what_stands_twice_is_scored_apart(spark):
+    """Of documents of rare words, those that the corpus has twice are far more probable: trigrams seen once count, discounted."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwz") + r.choice("aeiou") for _ in range(3))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate([*texts, *texts[:15]])], SCHEMA)
+    got = {x.doc_id: x.perplexity for x in katz.lm_score(df).collect()}
+    once, twice = sorted(got[i] for i in range(15, 60)), sorted(got[i] for i in range(15))
+    assert twice[7] < 0.8 * once[22] and twice[-1] < once[22]
