@@ -10,6 +10,7 @@ the whole value, so false positives cost time, never rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from .common import fresh, n_buckets, written
 
 #: Filter bits per element, and hash functions.
 BITS, K = 16, 4
-#: The second filters are broadcast up to this size. Beyond it every row takes the shuffled way.
-MAX_BROADCAST = 256 << 20
+#: Second filters that are broadcast at once. Where all of them are larger, the table is read once for each such part.
+MAX_BROADCAST = 128 << 20
 
 
 class Bloom:
@@ -82,10 +83,11 @@ def _test(h: Column, words: Column) -> Column:
 def possibly_repeated(df: DataFrame, h: str, flag: str, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``df`` with the boolean column ``flag``: false only where ``h`` (long, not null) stands once.
 
-    Null hashes are never flagged. The filters of all buckets are one broadcast row, below
-    ``max_broadcast`` bytes; beyond that size every row is flagged.
+    Null hashes are never flagged. Filters of neighbouring buckets are broadcast together, up to
+    ``max_broadcast`` bytes (one bucket at least, whose hashes ``n_buckets`` bounds); the rows of their
+    buckets are tested against them. So no row moves, however many hashes are repeated.
     """
-    n = min(4096, n_buckets(df, 0.01))
+    n = n_buckets(df, 0.01)
     hashes = df.select(df[f"`{h}`"].alias("h")).where("h is not null").withColumn("b", _bucket(F.col("h"), n))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,17 +95,24 @@ def possibly_repeated(df: DataFrame, h: str, flag: str, max_broadcast: int = MAX
         return pd.DataFrame({"b": [key[0]], "rep": [rep], "words": [words.view(np.int64)]})
 
     filters = hashes.groupBy("b").applyInPandas(build, "b int, rep long, words array<bigint>").where("rep > 0")
-    # The filters are gathered once; a partial size comes first so that nothing too large is collected.
     filters = written(filters, "bloom")
-    size = filters.agg(F.sum(F.size("words") * 8)).first()[0] or 0
-    if size > max_broadcast:
-        return df.withColumn(flag, df[f"`{h}`"].isNotNull())
-    if not size:
+    # a number for each bucket: sizes decide which filters go together
+    starts, held = [0], 0
+    for b, size in sorted(filters.select("b", F.size("words") * 8).collect()):
+        if held and held + size > max_broadcast:
+            starts.append(b)
+            held = 0
+        held += size
+    if not held:
         return df.withColumn(flag, F.lit(False))
     b, words = fresh(df, "bucket", "words")
-    df = df.withColumn(b, _bucket(F.col(f"`{h}`"), n))
-    one = F.broadcast(filters.select(F.col("b").alias(b), F.col("words").alias(words)))
-    return df.join(one, b, "left").withColumn(flag, _test(F.col(f"`{h}`"), F.col(words))).drop(b, words)
+    df = df.withColumn(b, F.coalesce(_bucket(F.col(f"`{h}`"), n), F.lit(0)))
+    parts = []
+    for lo, hi in zip(starts, [*starts[1:], n]):
+        some = F.broadcast(filters.where(F.col("b").between(lo, hi - 1)).select(F.col("b").alias(b), F.col("words").alias(words)))
+        rows = df.where(F.col(b).between(lo, hi - 1)) if len(starts) > 1 else df
+        parts.append(rows.join(some, b, "left").withColumn(flag, F.col(f"`{h}`").isNotNull() & _test(F.col(f"`{h}`"), F.col(words))).drop(b, words))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exact_dedup(df: DataFrame, text: str = "text", order: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:

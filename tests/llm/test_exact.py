@@ -54,3 +54,16 @@ def test_only_repeated_rows_are_flagged(spark):
     got = exact.possibly_repeated(df, "k", "again")
     assert got.where("id < 100 and not again").count() == 0
     assert got.where("again").count() < 200
+
+
+def test_filters_beyond_the_broadcast_move_no_other_rows(spark):
+    """With filters in parts, too, only possibly repeated rows take the way that shuffles."""
+    df = spark.createDataFrame([(i, f"text {i}", "", 0, 0) for i in range(3000)] + [(5000 + i, f"text {i}", "", 0, 0) for i in range(300)], SCHEMA).repartition(6)
+    h = df.withColumn("hash", F.xxhash64("text"))
+    for most in (0, 64, 1 << 20):
+        flagged = exact.possibly_repeated(h, "hash", "again", most)
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+        got = flagged.select("doc_id", "again").collect()
+        assert len(got) == 3300
+        assert {r.doc_id for r in got if r.again} >= {*range(300), *range(5000, 5300)} and sum(r.again for r in got) < 800
