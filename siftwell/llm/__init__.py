@@ -1,5 +1,5 @@
 """Training-data operators: one module per operator, queries in ``queries.py``.
 
-Nothing outside this subpackage imports it; the subpackage itself uses only
-PySpark, pyarrow, pandas and numpy.
+Nothing outside this subpackage imports it; the subpackage itself uses PySpark, pyarrow,
+pandas and numpy, and also zstandard (op1, op3, op10), xxhash (op5) and tiktoken (op3, op9).
 """

@@ -72,6 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": """
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y USING (g) JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+            WHERE x.doc_id <> y.doc_id GROUP BY ALL HAVING 3 * count(*) >= any_value(nx.n + ny.n)),
+        r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+        SELECT d.doc_id, coalesce(least(c.low, d.doc_id), d.doc_id) AS class_id, coalesce(l.links, 0) AS links FROM documents d
+        LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) c ON c.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM p GROUP BY a) l ON l.a = d.doc_id
+    """,
     "op4_mix_sources": mixing.oracle_sql(),
     "op8_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars FROM (
