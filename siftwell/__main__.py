@@ -12,7 +12,7 @@ from siftwell.sources.store import Engine
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siftwell")
     p.add_argument("--path", help="the collection's folder (default: INDEX_DIR)")
-    p.add_argument("--limit", type=int, default=1000, help="rows that are printed")
+    p.add_argument("--limit", type=int, help="rows that are printed (default: all)")
     top = p.add_subparsers(dest="command", required=True)
     add = top.add_parser("add", help="commit the documents of a JSON file")
     add.add_argument("file")
@@ -66,7 +66,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "stats":
         print(engine.stats().first().asDict())
     else:
-        for row in answer(engine, a).take(a.limit):
+        found = answer(engine, a)
+        for row in found.toLocalIterator() if a.limit is None else found.take(a.limit):
             print(*row, sep="\t")
 
 

@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,6 @@ from pyspark.sql import types as T
 
 from siftwell.functions import text as X
 
-#: Levels of keys that are indexed besides the root's.
-MAX_DEPTH = 4
 RAW = "array<struct<path:string,depth:int,kind:string,text:string,num:double>>"
 _RAW_TYPE = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("num", T.DoubleType())]))
 
@@ -140,27 +139,40 @@ def table_fields(df: DataFrame, id_col: str, fields: list[str] | None = None, ma
     return df.select(df[f"`{id_col}`"].alias("doc_id"), *cols, leaves.cast(LEAVES).alias("leaves")), plain
 
 
-def _walk(value: object, path: str, depth: int, dates: frozenset[str], out: list) -> None:
-    if isinstance(value, (dict, list)):
-        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+def _walk(doc: dict, dates: frozenset[str], out: list) -> None:
+    """The leaves of a document in order, without recursion."""
+    todo = [(str(k), 0, v) for k, v in reversed(doc.items())]
+    while todo:
+        path, depth, value = todo.pop()
+        if isinstance(value, (dict, list)):
+            items = list(value.items() if isinstance(value, dict) else enumerate(value))
             # an empty key at the root leaves no dot, as an empty parent has none
-            _walk(v, f"{path}.{k}" if path else str(k), depth + 1, dates, out)
-    elif isinstance(value, bool) or value is None or isinstance(value, str):
-        s = value if isinstance(value, str) else "null" if value is None else str(value).lower()
-        out.append({"path": path, "depth": depth, "kind": "date" if path in dates and isinstance(value, str) else "text", "text": s, "num": None})
-    else:
-        try:
-            num = float(value)
-        except OverflowError:
-            num = float("inf") if value > 0 else float("-inf")
-        out.append({"path": path, "depth": depth, "kind": "number", "text": None, "num": num})
+            todo += [(f"{path}.{k}" if path else str(k), depth + 1, v) for k, v in reversed(items)]
+        elif isinstance(value, bool) or value is None or isinstance(value, str):
+            s = value if isinstance(value, str) else "null" if value is None else str(value).lower()
+            out.append({"path": path, "depth": depth, "kind": "date" if path in dates and isinstance(value, str) else "text", "text": s, "num": None})
+        else:
+            try:
+                num = float(value)
+            except OverflowError:
+                num = float("inf") if value > 0 else float("-inf")
+            out.append({"path": path, "depth": depth, "kind": "number", "text": None, "num": num})
+
+
+def _object(s: str | None) -> dict | None:
+    """The JSON object of a text, or None; what is nested deeper than the parser follows is none."""
+    try:
+        doc = json.loads(s) if s is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return doc if isinstance(doc, dict) else None
 
 
 def json_leaves(df: DataFrame, id_col: str, json_col: str, max_depth: int | None = None, date_paths: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, leaves) of JSON objects in a string column, nested to any depth; one pass in Arrow batches.
+    """(doc_id, leaves) of JSON objects in a string column; one pass in Arrow batches.
 
     Types may differ from document to document under one path. Of repeated keys the last counts. What is
-    no JSON object (null, broken text, a scalar) has no leaves. ``date_paths`` are dates.
+    no JSON object (null, broken text, a scalar, thousands of levels that the parser can't follow) has no leaves. ``date_paths`` are dates.
     """
     dates = frozenset(date_paths)
     src = df.select(df[f"`{id_col}`"].alias("doc_id"), df[f"`{json_col}`"].alias("data"))
@@ -171,13 +183,7 @@ def json_leaves(df: DataFrame, id_col: str, json_col: str, max_depth: int | None
             rows = []
             for s in b.column(1).to_pylist():
                 out: list = []
-                try:
-                    doc = json.loads(s) if s is not None else None
-                except ValueError:
-                    doc = None
-                if isinstance(doc, dict):
-                    for k, v in doc.items():
-                        _walk(v, str(k), 0, dates, out)
+                _walk(_object(s) or {}, dates, out)
                 rows.append(out)
             item = pa.struct([("path", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("num", pa.float64())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(item))], names=["doc_id", "raw"])
@@ -187,6 +193,20 @@ def json_leaves(df: DataFrame, id_col: str, json_col: str, max_depth: int | None
 
 def invalid_keys(value: object) -> bool:
     """Whether a document has an empty field name anywhere."""
-    if isinstance(value, dict):
-        return any(not str(k) or invalid_keys(v) for k, v in value.items())
-    return any(invalid_keys(v) for v in value) if isinstance(value, list) else False
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if any(not str(k) for k in v):
+                return True
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def valid_json(data: pd.Series) -> pd.Series:
+    """Whether a text is a JSON object without an empty field name, at any level."""
+    found = [_object(s) for s in data]
+    return pd.Series([d is not None and not invalid_keys(d) for d in found])

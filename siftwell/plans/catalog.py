@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from siftwell.operators.collection import Collection
 from siftwell.operators.ranked import ranked
 from siftwell.plans import lang
 from siftwell.sources import store
+from siftwell.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,18 +177,19 @@ def number_text(spark, d):
     return p.select(F.col("p_partkey").alias("doc_id"), X.number_text(F.col("p_size")).alias("size"), X.number_text(F.col("p_retailprice")).alias("price"))
 
 
-PART_VOCAB = f"SELECT DISTINCT term FROM ({PART_TERMS}) WHERE path = 'p_name'"
+VOCAB = f"SELECT DISTINCT term FROM ({TERMS})"
+LOOKED_FOR = ["the", "retition", "widget"]
 
 
-@query(f"SELECT DISTINCT term, substr(term, i, n) AS gram FROM ({PART_VOCAB}) v, unnest([2, 3, 4, 5]) AS a(n), unnest(range(1, 100)) AS b(i) WHERE i + n - 1 <= length(term)")
+@query(f"SELECT DISTINCT term, substr(term, i, n) AS gram FROM ({VOCAB}) v, unnest([2, 3, 4, 5]) AS a(n), unnest(range(1, length(term) + 1)) AS b(i) WHERE i + n - 1 <= length(term)")
 def ngrams(spark, d):
-    return parts(spark, d, ["p_name"]).grams.select("term", "gram")
+    return documents(spark, d).grams.select("term", "gram")
 
 
-@query(f"SELECT a.term AS a, b.term AS b, levenshtein(a.term, b.term) AS dist FROM ({PART_VOCAB}) a, ({PART_VOCAB}) b")
+@query(f"SELECT a, term AS b, levenshtein(a, term) AS dist FROM ({VOCAB}), unnest({LOOKED_FOR}) AS q(a)")
 def edit_distance(spark, d):
-    v = parts(spark, d, ["p_name"]).vocab.select(F.col("term").alias("a"))
-    return v.crossJoin(v.select(F.col("a").alias("b"))).select("a", "b", X.edit_distance(F.col("a"), F.col("b")).alias("dist"))
+    v = documents(spark, d).vocab.select(F.explode(F.lit(LOOKED_FOR)).alias("a"), F.col("term").alias("b"))
+    return v.select("a", "b", X.edit_distance(F.col("a"), F.col("b")).alias("dist"))
 
 
 @query(f"SELECT DISTINCT term FROM ({TERMS}) WHERE contains(term, 'tion')")
@@ -194,12 +197,16 @@ def gram_terms(spark, d):
     return documents(spark, d).gram_terms("tion")
 
 
-@query(f"SELECT DISTINCT term FROM ({PART_TERMS}) WHERE path = 'p_name' AND contains(term, 'in')")
+@query(f"SELECT DISTINCT term FROM ({TERMS}) WHERE contains(term, 'in')")
 def prefix_terms(spark, d):
-    return parts(spark, d, ["p_name"]).prefix_terms("in")
+    return documents(spark, d).prefix_terms("in")
 
 
-@query()
+#: Stems of the words of part names by the published rules.
+_STEMS = {w: w for w in "anvil blue bolt cold gear gizmo hot new old plate red ring rod small widget".split()} | {"large": "larg"}
+
+
+@query(f"SELECT DISTINCT term, stem FROM ({PART_TERMS}) JOIN (VALUES {', '.join(map(str, _STEMS.items()))}) AS s(word, stem) ON term = word WHERE path = 'p_name'")
 def stemming(spark, d):
     v = parts(spark, d, ["p_name"]).vocab
     return v.select("term", stem.stem_word("term").alias("stem"))
@@ -395,9 +402,53 @@ def snapshot_replay(spark, d):
     return store.replay(store.live(c, up_to=500), c, 500).select("doc_id", "commit_id", "data")
 
 
-@query("SELECT p_partkey AS doc_id, true AS valid FROM part")
+@query("SELECT p_partkey AS doc_id, p_size % 4 = 0 AS valid FROM part")
 def validate(spark, d):
-    p = table(spark, d, "part")
-    docs = p.select(F.col("p_partkey").alias("doc_id"), F.to_json(F.struct("p_name", "p_size")).alias("data"))
-    f = flatten.json_leaves(docs, "doc_id", "data")
-    return f.select("doc_id", (~F.exists("leaves", lambda x: (x["path"] == "") | F.contains(x["path"], F.lit("..")))).alias("valid"))
+    """Documents with an empty name at the root, in an object and in an array's object, and ones without."""
+    name = F.to_json(F.struct(F.col("p_name").alias("v")))
+    bad = [F.concat(F.lit('{"":'), name, F.lit("}")), F.concat(F.lit('{"a":{"":'), name, F.lit("}}")), F.concat(F.lit('{"a":[1,{"b":{"":'), name, F.lit("}}]}"))]
+    size = F.col("p_size") % 4
+    data = F.when(size == 0, F.concat(F.lit('{"a":[{"b":'), name, F.lit('}],"c":""}'))).when(size == 1, bad[0]).when(size == 2, bad[1]).otherwise(bad[2])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), flatten.valid_json(data).alias("valid"))
+
+
+# --- the engine: parts are added, some become new versions, some go
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> tuple[store.Engine, int]:
+    """An engine in the shared folder, and its last commit before versions and deletions."""
+    e = store.Engine(spark, f"{shared_dir(spark)}/siftwell-engine-{uuid.uuid4().hex[:12]}", snapshot_every=10**15)
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    mark = e.add_table(p, "p_partkey")
+    e.snapshot()
+    e.add_table(p.where("p_size < 10").withColumn("p_name", F.concat(F.lit("second "), "p_name")), "p_partkey", max_depth=0)
+    e.delete("1", "2", "no such part")
+    return store.Engine(spark, e.path), mark  # opened again
+
+
+_PARTS = "SELECT p_partkey::VARCHAR AS doc_id, {} AS name FROM part"
+
+
+@query(_PARTS.format("CASE WHEN p_size < 10 THEN 'second ' || p_name ELSE p_name END") + " WHERE p_partkey NOT IN (1, 2)")
+def engine_live(spark, d):
+    e, _ = _engine(spark, d)
+    return e.live().select("doc_id", F.get_json_object("data", "$.p_name").alias("name"))
+
+
+@query(_PARTS.format("p_name"))
+def engine_as_of(spark, d):
+    e, mark = _engine(spark, d)
+    return e.as_of(mark).select("doc_id", F.get_json_object("data", "$.p_name").alias("name"))
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id FROM part WHERE p_size < 10 AND p_partkey NOT IN (1, 2)")
+def engine_search(spark, d):
+    e, _ = _engine(spark, d)
+    return e.collection().words(["second"])
+
+
+@query("SELECT p_partkey::VARCHAR AS doc_id, p_name AS name, NULL::INT AS max_depth FROM part")
+def engine_rollback(spark, d):
+    e, mark = _engine(spark, d)
+    e.rollback_to(mark)
+    return e.live().select("doc_id", F.get_json_object("data", "$.p_name").alias("name"), "max_depth")

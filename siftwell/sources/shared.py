@@ -26,8 +26,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/siftwell-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -14,9 +14,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.operators.collection import DEFAULT, Collection, TokenizerConfig
-from siftwell.operators.flatten import invalid_keys
+from siftwell.operators.flatten import invalid_keys, valid_json
 
 SCHEMA = "commit_id long, op string, doc_id string, data string, max_depth int, ts timestamp"
 #: A snapshot is written once so many commits have come, into this many slots in turn.
@@ -40,6 +41,13 @@ def replay(snapshot: DataFrame, commits: DataFrame, at: int) -> DataFrame:
     return live(snapshot.unionByName(commits.where(F.col("commit_id") > at), allowMissingColumns=True))
 
 
+def _unnamed(kind: T.DataType) -> bool:
+    """Whether a type has a field without a name."""
+    if isinstance(kind, T.StructType):
+        return any(not f.name or _unnamed(f.dataType) for f in kind)
+    return _unnamed(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType) and _unnamed(kind.valueType)
+
+
 class Engine:
     """Documents in a folder: ``commits`` and ``snapshots``. Opening reads nothing but file lists."""
 
@@ -59,26 +67,33 @@ class Engine:
         fs, p = self._fs(path)
         return fs.exists(p)
 
+    def _pointers(self) -> list[str]:
+        """Names of the pointers to snapshots, oldest first."""
+        fs, p = self._fs(self.snapshot_path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith("meta-")) if fs.exists(p) else []
+
     def _meta(self) -> dict | None:
-        """The newest snapshot's slot and commit, or None; an unreadable pointer counts as none."""
-        at = f"{self.snapshot_path}/meta.json"
-        if not self.exists(at):
-            return None
-        try:
-            return json.loads("".join(r.value for r in self.spark.read.text(at).collect()))
-        except ValueError:
-            return None
+        """The newest snapshot's slot and commit, or None; unreadable pointers count as none."""
+        for name in reversed(self._pointers()):
+            try:
+                return json.loads("".join(r.value for r in self.spark.read.text(f"{self.snapshot_path}/{name}").collect()))
+            except ValueError:
+                continue
+        return None
 
     def _set_meta(self, meta: dict) -> None:
-        """The pointer changes by a rename, after the slot is whole."""
+        """A new pointer appears by a rename, after the slot is whole; older ones go only then."""
         fs, tmp = self._fs(f"{self.snapshot_path}/.meta-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        _, to = self._fs(f"{self.snapshot_path}/meta.json")
-        fs.delete(to, False)
+        old = self._pointers()
+        number = int(old[-1][5:25]) + 1 if old else 0
+        _, to = self._fs(f"{self.snapshot_path}/meta-{number:020d}.json")
         if not fs.rename(tmp, to):
             raise OSError(f"can't write {to}")
+        for name in old:
+            fs.delete(self._fs(f"{self.snapshot_path}/{name}")[1], False)
 
     # --- log
 
@@ -130,6 +145,8 @@ class Engine:
 
     def add_table(self, df: DataFrame, id_col: str | None = None, max_depth: int | None = None) -> int:
         """Commits each row of a table as a document, without passing the driver; commit ids grow, with gaps."""
+        if _unnamed(df.schema):
+            raise ValueError("empty field name")
         last = self.last_commit_id()
         cols = [c for c in df.columns if c != id_col]
         out = df.select(
@@ -138,16 +155,17 @@ class Engine:
             F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("data"), F.lit(max_depth).cast("int").alias("max_depth"), F.current_timestamp().alias("ts"),
         )
         self._append(out)
-        now = self.last_commit_id()
-        self._maybe_snapshot(last, now)
-        return now
+        return self._noted(last)
 
     def add_json_lines(self, path: str, max_depth: int | None = None) -> int:
-        """Commits each line of files of JSON objects; distributed, like ``add_table``."""
+        """Commits each line of files of JSON objects; distributed, like ``add_table``.
+
+        Lines that are no JSON object, or have an empty field name, are left out, as other items of a file are.
+        """
         last = self.last_commit_id()
-        lines = self.spark.read.text(path).where(F.col("value").rlike(r"^\s*\{"))
+        lines = self.spark.read.text(path).where(valid_json("value"))
         self._append(lines.select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("commit_id"), F.lit("add").alias("op"), F.uuid().alias("doc_id"), F.col("value").alias("data"), F.lit(max_depth).cast("int").alias("max_depth"), F.current_timestamp().alias("ts")))
-        return self.last_commit_id()
+        return self._noted(last)
 
     def delete(self, *ids: str) -> None:
         """Commits deletions; ids that aren't there are no error."""
@@ -169,11 +187,18 @@ class Engine:
 
     def rollback_to(self, commit_id: int) -> int:
         """New commits that bring that state back; the log keeps everything."""
-        now, then = self.live().select("doc_id", "data"), self.as_of(commit_id).select("doc_id", F.col("data").alias("old"), F.col("max_depth"))
-        both = now.join(then, "doc_id", "full_outer").where(~F.col("data").eqNullSafe(F.col("old")))
+        now = self.live().select("doc_id", F.struct("data", "max_depth").alias("now"))
+        then = self.as_of(commit_id).select("doc_id", F.struct("data", "max_depth").alias("old"))
+        both = now.join(then, "doc_id", "full_outer").where(~F.col("now").eqNullSafe(F.col("old")))
         last = self.last_commit_id()
-        self._append(both.select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("commit_id"), F.when(F.col("old").isNull(), "delete").otherwise("add").alias("op"), "doc_id", F.col("old").alias("data"), "max_depth", F.current_timestamp().alias("ts")))
-        return self.last_commit_id()
+        self._append(both.select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("commit_id"), F.when(F.col("old").isNull(), "delete").otherwise("add").alias("op"), "doc_id", "old.data", "old.max_depth", F.current_timestamp().alias("ts")))
+        return self._noted(last)
+
+    def _noted(self, before: int) -> int:
+        """The last commit id after a write that began at ``before``; a snapshot if it is time for one."""
+        now = self.last_commit_id()
+        self._maybe_snapshot(before, now)
+        return now
 
     def _maybe_snapshot(self, before: int, now: int) -> None:
         if now // self.snapshot_every > before // self.snapshot_every:
@@ -183,7 +208,7 @@ class Engine:
         """Writes the live documents into the next slot, then moves the pointer. Gives the slot."""
         meta = self._meta() or {"slot": 0}
         slot, at = meta["slot"] % self.slots + 1, self.last_commit_id()
-        live(self.commits, at).select([c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.snapshot_path}/slot={slot}")
+        self.live().select([c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.snapshot_path}/slot={slot}")
         self._set_meta({"slot": slot, "commit_id": at})
         return slot
 

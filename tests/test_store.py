@@ -114,3 +114,38 @@ def test_command_line(spark, tmp_path, capsys):
     say("delete", a)
     assert say("query", "words", "lamp") == [b]
     assert "'n_docs':" in say("stats")[0]
+
+
+def test_rollback_brings_depth_limits_back(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.add({"a": {"b": "deep"}}, ids=["x"])
+    mark = e.last_commit_id()
+    e.update("x", {"a": {"b": "deep"}}, max_depth=0)
+    assert e.collection().words(["deep"]).count() == 0
+    e.rollback_to(mark)
+    assert e.collection().words(["deep"]).count() == 1
+
+
+def test_every_way_of_writing_validates_and_makes_snapshots(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), snapshot_every=2)
+    (tmp_path / "a.jsonl").write_text('{"title": "one"}\n{"title": {"": 1}}\n{"title": "two"}\n{broken\n')
+    e.add_json_lines(str(tmp_path / "a.jsonl"))
+    assert titles(e.live()) == ["one", "two"] and e._meta()["slot"] == 1
+    with pytest.raises(ValueError):
+        e.add_table(spark.range(2).select("id", F.struct(F.lit(1).alias("")).alias("s")), "id")
+    e.add({"title": "three"}, {"title": "four"})
+    slot = e._meta()["slot"]
+    e.rollback_to(2)
+    assert titles(e.live()) == ["one", "two"] == titles(store.live(e.commits)) and e._meta()["slot"] != slot
+    (tmp_path / "e" / "snapshots" / "meta-99999999999999999999.json").write_text("broken")
+    assert titles(e.live()) == ["one", "two"]  # by the pointer before
+
+
+def test_very_deep_documents(spark):
+    """What the parser can't follow has no leaves; what it can is flattened at any depth."""
+    from siftwell.operators.flatten import json_leaves
+
+    deep = lambda n: '{"a":' * n + "1" + "}" * n
+    df = spark.createDataFrame([(1, deep(400)), (2, deep(200_000)), (3, '{"b": [' + "[" * 300 + "2" + "]" * 300 + "]}")], "id int, data string")
+    got = {r.doc_id: [x.depth for x in r.leaves] for r in json_leaves(df, "id", "data").collect()}
+    assert got == {1: [399], 2: [], 3: [301]}
