@@ -296,6 +296,18 @@ def _marks(m: Model, negatives: list[str]) -> set[str]:
     return vocabulary - out
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern of any of the words that tries each first letter once, then each second one, and so on."""
+    after: dict[str, set[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], set()).add(w[1:])
+    parts = [re.escape(c) + _any_of(rest) for c, rest in sorted(after.items())]
+    if not parts:
+        return "" if words else "(?!)"
+    return "(?:" + "|".join(parts) + ")" + ("?+" if "" in words else "")
+
+
 def sample_paragraphs(docs: DataFrame, n: int = SAMPLE) -> list[str]:
     """About ``n`` paragraphs: one of each document, by the key's hash, at a rate from the count. Those that have much of a
     template are no example of "none"; ordinary ones with a licence's words are."""
@@ -323,8 +335,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", model: Model |
     shared = df.sparkSession.sparkContext.broadcast(model)  # templates' n-grams: fixed size
     schema = T.StructType([T.StructField(key, docs.schema["id"].dataType), T.StructField("paragraph", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("cover", T.DoubleType())])
     # The classifier's marks by themselves, in the JVM: only texts with one can have anything but "none".
-    mark = "(?iu)(?<![\\p{L}\\p{N}])(" + "|".join(sorted(model.marks)) + ")(?![\\p{L}\\p{N}])"
-    rows = docs.where(F.col("text").rlike(mark))
+    rows = docs.where(F.concat(F.lit(" "), F.lower("text")).rlike("[^a-z\\p{L}\\p{N}]" + _any_of(model.marks) + "(?![\\p{L}\\p{N}])"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
